@@ -122,8 +122,7 @@ class _Search:
         return pairs.where(self.sized()).where(self.estimate()).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose full sets reach the threshold."""
-        pairs = cut(pairs)
+        """Those of the pairs (a, b), a cut table, whose full sets reach the threshold."""
         ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         texts = self.docs.join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -168,10 +167,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     comps = cut(components(links))
 
     more = cut(search.with_sketches(cut(_apart(stars.join(tried, ["a", "b"], "left_anti").select("a", "b"), comps))))
-    links = cut(links.union(search.verified(more)))
-    comps = cut(components(links))
+    if not more.isEmpty():
+        links, tried = cut(links.union(search.verified(more))), tried.union(more)
+        comps = cut(components(links))
 
-    tried = tried.union(more)
     inside = listed.join(comps, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     inside = cut(inside)
     split = inside.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
@@ -181,8 +180,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     one, two = (inside.select("key", F.col("doc_id").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     rest = one.join(two, "key").where("a < b and ca <> cb").where(search.sized()).where(search.estimate())
     rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(search.verified(rest))
-    comps = cut(components(links))
+    rest = cut(rest)
+    if not rest.isEmpty():
+        comps = cut(components(links.union(search.verified(rest))))
 
     where = member.withColumnRenamed("leader", "id").join(comps, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     where = where.union(comps.select("id", "component"))
