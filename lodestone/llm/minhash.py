@@ -9,7 +9,8 @@ classes of depth 4 miss such a pair with probability 5e-8, and likelier pairs le
 Pairs within a list are not expanded. Sets that are equal count as one. Then
 1. each set is linked to the list leader with which it shares most lists, and the pair is verified;
 2. leaders of its other lists are tried if they are not yet in the same component;
-3. in lists that still hold several components, every pair from different components passes the union-sketch estimate.
+3. in lists that still hold several components, pairs from different components pass the tests: sizes, sign bits
+   (256 majority bits of remixed shingle hashes, a few nanoseconds a pair), then the union-sketch estimate.
 Links inside a component that is already known change nothing and are not looked for.
 """
 
@@ -61,6 +62,24 @@ def heads(values: np.ndarray, classes: int, depth: int) -> np.ndarray:
     return mix(np.add.reduceat(v, np.flatnonzero(rank[top] == 0)) + c[start].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+BITS = 256
+#: Differing sign bits up to which a pair of large sets may still be similar: 5.5 standard deviations above the mean
+#: for the least cosine that two sets of similarity 0.8 have. Sums of few signs tie, so small sets are allowed more.
+BITS_APART, BITS_APART_SMALL = 70, 90
+
+
+def sign_bits(values: np.ndarray) -> np.ndarray:
+    """BITS bits in four integers: of each bit of four remixed hashes, which value most shingles have."""
+    out = np.zeros(4, np.int64)
+    for r in range(4):
+        ones = np.zeros(64, np.int64)
+        for a in range(0, len(values), 1 << 15):
+            x = mix(values[a : a + (1 << 15)] ^ _DEPTH_FACTORS[40 + r])
+            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out[r] = np.packbits(2 * ones > len(values)).view(np.int64)[0]
+    return out
+
+
 def least_size(threshold_percent: int) -> int:
     """Sets smaller than this are linked only with equal ones: n - 1 of n is below the threshold."""
     return next(n for n in range(2, 102) if 100 * (n - 1) >= threshold_percent * n) if threshold_percent < 100 else 1 << 60
@@ -78,10 +97,11 @@ def _sketch(words: int, k: int, classes: int, depth: int, least: int):
                 big = [len(s) >= least for s in sets]
                 keys = [heads(s, classes, depth) if b else none for s, b in zip(sets, big)]
                 tops = [s[:k] if b else none for s, b in zip(sets, big)]
+                signs = [sign_bits(s) if b else none for s, b in zip(sets, big)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), long(n), long(low), long(high)]
-                    + [lists(np.concatenate(x) if x else none, np.array([len(y) for y in x])) for x in (keys, tops)],
-                    names=["doc_id", "n", "low", "high", "keys", "sketch"],
+                    + [lists(np.concatenate(x) if x else none, np.array([len(y) for y in x])) for x in (keys, tops, [y.view(np.uint64) for y in signs])],
+                    names=["doc_id", "n", "low", "high", "keys", "sketch", "signs"],
                 )
 
     return run
@@ -106,20 +126,25 @@ class _Search:
         self.docs, self.sets, self.words, self.percent, self.k = docs, sets, words, percent, k
         self.floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
 
-    def estimate(self):
+    def estimate(self) -> str:
         """Share of the k smallest values of both sketches together that both have: the union-sketch estimate."""
-        union = "slice(array_sort(array_union(sa, sb)), 1, least({k}, greatest(size(sa), size(sb))))".format(k=self.k)
-        return F.expr(f"size(array_intersect(array_intersect({union}, sa), sb)) >= {self.floor} * size({union})")
+        # the union appears once: Spark would work out a repeated part for every pair, before the cheap tests
+        size = f"least({self.k}, greatest(size(sa), size(sb)))"
+        union = f"slice(array_sort(array_union(sa, sb)), 1, {size})"
+        return f"size(array_intersect(array_intersect({union}, sa), sb)) >= {self.floor} * {size}"
 
-    def sized(self):
-        return F.expr(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+    def likely(self) -> str:
+        """The cheap tests that every similar pair passes: sizes and sign bits."""
+        apart = " + ".join(f"bit_count(ba[{i}] ^ bb[{i}])" for i in range(4))
+        signs = f" and {apart} <= if(least(na, nb) <= {self.k}, {BITS_APART_SMALL}, {BITS_APART})" if self.percent >= 80 else ""
+        return f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)" + signs
 
     def with_sketches(self, pairs: DataFrame) -> DataFrame:
         for x in "ab":
-            side = self.sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+            side = self.sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("signs").alias(f"b{x}"))
             side = side.join(small(cut(pairs.select(x).distinct())), x, "left_semi")
             pairs = pairs.join(side, x)
-        return pairs.where(self.sized()).where(self.estimate()).select("a", "b")
+        return pairs.where(f"{self.likely()} and {self.estimate()}").select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), a cut table, whose full sets reach the threshold."""
@@ -149,7 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     Columns besides doc_id and text are not read.
     """
     docs = docs.select("doc_id", "text")
-    shape = "doc_id long, n long, low long, high long, keys array<long>, sketch array<long>"
+    shape = "doc_id long, n long, low long, high long, keys array<long>, sketch array<long>, signs array<long>"
     sets = cut(docs.mapInArrow(_sketch(words, k, classes, depth, least_size(percent)), shape))
     named = sets.where("doc_id is not null and n > 0").select("doc_id", "n", "low", "high")
     groups = cut(named.groupBy("n", "low", "high").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c"))
@@ -175,10 +200,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     inside = cut(inside)
     split = inside.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
     inside = cut(inside.join(split, "key", "left_semi"))
-    side = distinct.join(small(cut(inside.select("doc_id").distinct())), "doc_id", "left_semi").select("doc_id", "n", "sketch")
+    side = distinct.join(small(cut(inside.select("doc_id").distinct())), "doc_id", "left_semi").select("doc_id", "n", "sketch", "signs")
     inside = inside.join(side, "doc_id")
-    one, two = (inside.select("key", F.col("doc_id").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    rest = one.join(two, "key").where("a < b and ca <> cb").where(search.sized()).where(search.estimate())
+    one, two = (inside.select("key", F.col("doc_id").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("signs").alias(f"b{x}")) for x in "ab")
+    rest = one.join(two, "key").where(f"a < b and ca <> cb and {search.likely()} and {search.estimate()}")
     rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     rest = cut(rest)
     if not rest.isEmpty():
