@@ -5,7 +5,25 @@ from __future__ import annotations
 import re
 
 #: Patterns that always apply: fixed values.
-DEFAULTS = ["**/bin/**", "**/obj/**", "**/.git/**", "**/node_modules/**", "**/.vs/**", "**/packages/**", "**/.idea/**", "**/.vscode/**", "**/TestResults/**", "**/*.g.cs", "**/*.g.i.cs", "**/*.designer.cs", "**/*.Designer.cs", "**/dist/**", "**/build/**", "**/__pycache__/**", "**/.codeidx/**"]
+DEFAULTS = [
+    "**/.git/**",
+    "**/bin/**",
+    "**/obj/**",
+    "**/node_modules/**",
+    "**/.vs/**",
+    "**/packages/**",
+    "**/__pycache__/**",
+    "**/.venv/**",
+    "**/venv/**",
+    "**/dist/**",
+    "**/build/**",
+    "**/.idea/**",
+    "**/.cursor/**",
+    "**/*.dll",
+    "**/*.exe",
+    "**/*.pdb",
+    "**/*.cache",
+]
 
 
 def compile_rules(patterns: list[str]) -> list[tuple[re.Pattern, bool]]:
