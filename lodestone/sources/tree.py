@@ -19,7 +19,7 @@ def scan_files(spark: SparkSession, root: str, spec: list, pattern: str = "*.{cs
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     path = _plain(F.col("path"))
     relative = F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")
-    df = df.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    df = df.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
     return df.where(~ignored_column(relative, spec))
 
 
