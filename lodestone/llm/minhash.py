@@ -81,8 +81,8 @@ def sign_bits(values: np.ndarray) -> np.ndarray:
 
 
 def least_size(threshold_percent: int) -> int:
-    """Sets smaller than this are linked only with equal ones: n - 1 of n is below the threshold."""
-    return next(n for n in range(2, 102) if 100 * (n - 1) >= threshold_percent * n) if threshold_percent < 100 else 1 << 60
+    """Sets smaller than this are linked only with equal ones: n of n + 1 is below the threshold."""
+    return next(n for n in range(1, 102) if 100 * n >= threshold_percent * (n + 1)) if threshold_percent < 100 else 1 << 60
 
 
 def _sketch(words: int, k: int, classes: int, depth: int, least: int):
