@@ -200,24 +200,21 @@ def components(edges: DataFrame) -> DataFrame:
     with any number of links is spread over tasks. Empty input gives an empty table.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = _signature(e)
-    while seen[0]:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = _signature(e)
-        if now == seen:
-            break
-        seen = now
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _signature(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _stars(e: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u as well: then v is the component of u."""
+    ends = e.select("u", F.lit(1).alias("up")).union(e.select("v", F.lit(0)).distinct())
+    return ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("up").alias("up")).where("up > 1 or up = 1 and n > 1").isEmpty()
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list, value, name: str) -> DataFrame:

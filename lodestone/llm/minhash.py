@@ -48,18 +48,22 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def heads(values: np.ndarray, classes: int, depth: int) -> np.ndarray:
-    """One key for each residue class that has values: a hash of the class and its `depth` smallest values."""
-    c = (values & np.uint64(classes - 1)).astype(np.int64)
-    order = np.argsort(c, kind="stable")
+def heads(values: np.ndarray, ptr: np.ndarray, classes: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sorted sets values[ptr[i] : ptr[i + 1]]: one key for each residue class that has values, a hash of the
+    class and its `depth` smallest values; and the number of keys of each set."""
+    sets = len(ptr) - 1
+    if not len(values):
+        return np.zeros(0, np.uint64), np.zeros(sets, np.int64)
+    c = np.repeat(np.arange(sets, dtype=np.int64) * classes, np.diff(ptr)) + (values & np.uint64(classes - 1)).astype(np.int64)
+    order = np.argsort(c.astype(np.uint16) if sets * classes <= 1 << 16 else c, kind="stable")
     c = c[order]
-    first = np.ones(len(c), bool)
-    first[1:] = c[1:] != c[:-1]
-    start = np.flatnonzero(first)
+    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
     rank = np.arange(len(c)) - np.repeat(start, np.diff(np.append(start, len(c))))
     top = rank < depth
-    v = values[order][top] * _DEPTH_FACTORS[rank[top]]
-    return mix(np.add.reduceat(v, np.flatnonzero(rank[top] == 0)) + c[start].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    v = values[order[top]] * _DEPTH_FACTORS[rank[top]]
+    c = c[start]
+    keys = mix(np.add.reduceat(v, np.flatnonzero(rank[top] == 0)) + (c % classes).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return keys, np.bincount(c // classes, minlength=sets)
 
 
 BITS = 256
@@ -68,15 +72,29 @@ BITS = 256
 BITS_APART, BITS_APART_SMALL = 70, 90
 
 
-def sign_bits(values: np.ndarray) -> np.ndarray:
-    """BITS bits in four integers: of each bit of four remixed hashes, which value most shingles have."""
-    out = np.zeros(4, np.int64)
+_LANES = np.uint64(0x0101010101010101)
+
+
+def sign_bits(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """For each set values[ptr[i] : ptr[i + 1]], none empty, BITS bits in four integers: of each bit of four remixed
+    hashes, which value most shingles have.
+
+    Eight bits are counted in one sum: a byte of the sum counts one bit of up to 255 shingles.
+    """
+    out = np.zeros((len(ptr) - 1, 4), np.int64)
+    if not len(out):
+        return out
+    n = np.diff(ptr)
+    blocks = -(-n // 255)
+    first = np.cumsum(blocks) - blocks
+    start = np.repeat(ptr[:-1], blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
     for r in range(4):
-        ones = np.zeros(64, np.int64)
-        for a in range(0, len(values), 1 << 15):
-            x = mix(values[a : a + (1 << 15)] ^ _DEPTH_FACTORS[40 + r])
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out[r] = np.packbits(2 * ones > len(values)).view(np.int64)[0]
+        x = mix(values ^ _DEPTH_FACTORS[40 + r])
+        ones = np.zeros((len(n), 8, 8), np.int64)  # set, byte, bit
+        for bit in range(8):
+            sums = np.add.reduceat((x >> np.uint64(7 - bit)) & _LANES, start)
+            ones[:, :, bit] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+        out[:, r] = np.packbits((2 * ones > n[:, None, None]).reshape(len(n), 64), axis=1).view(np.int64)[:, 0]
     return out
 
 
@@ -91,16 +109,19 @@ def _sketch(words: int, k: int, classes: int, depth: int, least: int):
             for batch in slices(whole):
                 sets = shingle_sets(batch.column("text"), words)
                 n = np.array([len(s) for s in sets], np.int64)
-                none = np.zeros(0, np.uint64)
                 low = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                high = np.array([mix(s.copy() + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                big = [len(s) >= least for s in sets]
-                keys = [heads(s, classes, depth) if b else none for s, b in zip(sets, big)]
-                tops = [s[:k] if b else none for s, b in zip(sets, big)]
-                signs = [sign_bits(s) if b else none for s, b in zip(sets, big)]
+                high = np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64)
+                none = np.zeros(0, np.uint64)
+                big = [s for s in sets if len(s) >= least]
+                ptr = np.cumsum([0, *map(len, big)])
+                values = np.concatenate(big) if big else none
+                key, each = heads(values, ptr, classes, depth)
+                counts = np.zeros((3, len(n)), np.int64)
+                counts[:, n >= least] = each, np.minimum(n[n >= least], k), np.full(len(big), 4)
+                parts = key, np.concatenate([s[:k] for s in big]) if big else none, sign_bits(values, ptr).reshape(-1).view(np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), long(n), long(low), long(high)]
-                    + [lists(np.concatenate(x) if x else none, np.array([len(y) for y in x])) for x in (keys, tops, [y.view(np.uint64) for y in signs])],
+                    + [lists(x, c) for x, c in zip(parts, counts)],
                     names=["doc_id", "n", "low", "high", "keys", "sketch", "signs"],
                 )
 
@@ -140,10 +161,11 @@ class _Search:
         return f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)" + signs
 
     def with_sketches(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b), a cut table, that pass the cheap tests and the estimate."""
+        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        side = self.sets.join(small(ids), "doc_id", "left_semi")
         for x in "ab":
-            side = self.sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("signs").alias(f"b{x}"))
-            side = side.join(small(cut(pairs.select(x).distinct())), x, "left_semi")
-            pairs = pairs.join(side, x)
+            pairs = pairs.join(side.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("signs").alias(f"b{x}")), x)
         return pairs.where(f"{self.likely()} and {self.estimate()}").select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -187,27 +209,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     search = _Search(docs, distinct, words, percent, k)
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-    tried = cut(search.with_sketches(best))
+    tried = cut(search.with_sketches(cut(best)))
     links = search.verified(tried)
-    comps = cut(components(links))
+    comps = small(components(links))
 
-    more = cut(search.with_sketches(cut(_apart(stars.join(tried, ["a", "b"], "left_anti").select("a", "b"), comps))))
+    more = cut(search.with_sketches(cut(_apart(stars.join(small(tried), ["a", "b"], "left_anti").select("a", "b"), comps))))
     if not more.isEmpty():
-        links, tried = cut(links.union(search.verified(more))), tried.union(more)
-        comps = cut(components(links))
+        links, tried = links.union(search.verified(more)), tried.union(more)
+        comps = small(components(links))
 
     inside = listed.join(comps, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    inside = cut(inside)
     split = inside.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
     inside = cut(inside.join(split, "key", "left_semi"))
     side = distinct.join(small(cut(inside.select("doc_id").distinct())), "doc_id", "left_semi").select("doc_id", "n", "sketch", "signs")
     inside = inside.join(side, "doc_id")
     one, two = (inside.select("key", F.col("doc_id").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("signs").alias(f"b{x}")) for x in "ab")
     rest = one.join(two, "key").where(f"a < b and ca <> cb and {search.likely()} and {search.estimate()}")
-    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    rest = cut(rest)
+    rest = cut(rest.select("a", "b").distinct().join(small(tried), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        comps = cut(components(links.union(search.verified(rest))))
+        comps = components(links.union(search.verified(rest)))
 
     where = member.withColumnRenamed("leader", "id").join(comps, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     where = where.union(comps.select("id", "component"))
