@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
 
-Words are lower-cased runs of letters. Documents are scanned for the n-grams of the items; each item's seeds are those
-of its n-grams that at most `rare` documents hold or that are no more than twice as frequent as its median one, so that
-an item copied into thousands of documents keeps seeds too, also in edited copies. A document with two seeds of an item (one, where the item has no more) is aligned with it.
+Words are lower-cased runs of letters. Documents are scanned for the n-grams of the items; all of them are seeds, however
+many documents hold them. A document with two seeds of an item (one, where the item has no more) is aligned with it.
 Items are taken in blocks that fit a task's memory; documents never move unless they have seeds.
 """
 
@@ -124,7 +123,7 @@ def _aligned(index, threshold: float, enough: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, enough: int = 40, rare: int = 1000, block: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, enough: int = 40, block: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of each document that holds a copy of a test item.
 
     score is the alignment's share of a perfect one; a pair is returned from `threshold` on, or if it scores as much as
@@ -147,9 +146,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
             continue
         # as many rows as the block has n-grams
         grams = cut(spark.createDataFrame(owned, "item_id long, gram long").repartition(8, "gram"))
-        df = grams.join(hits.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").fillna(0, ["df"])
-        median = df.groupBy("item_id").agg(F.percentile("df", 0.5).alias("median"), F.count("*").alias("all"))
-        seeds = cut(df.join(median, "item_id").where(f"df <= greatest(2 * median, {rare})").select("item_id", "gram", F.least(F.lit(2), "all").alias("least")))
+        least = grams.groupBy("item_id").agg(F.least(F.lit(2), F.count("*")).alias("least"))
+        seeds = cut(grams.join(least, "item_id"))
         found = hits.join(small(seeds), "gram").groupBy("doc_id", "item_id").agg(F.count_distinct("gram").alias("c"), F.first("least").alias("least")).where("c >= least")
         found = cut(found.groupBy("doc_id").agg(F.collect_list("item_id").alias("items")))
         texts = docs.join(small(found.select("doc_id")), "doc_id", "left_semi")

@@ -223,6 +223,17 @@ def test_decontaminate(spark):
     assert decontaminate.clean(docs, bench).count() == len(rows) - 2 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_hot_edited_copy(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    item = [word() for _ in range(38)]
+    edited = " ".join(word() if i % 5 == 4 else w for i, w in enumerate(item))
+    docs = spark.createDataFrame([(i, edited if i < 1001 else " ".join(word() for _ in range(60))) for i in range(1010)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: x.score for x in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == set(range(1001)) and 0.7 < min(got.values()) and max(got.values()) < 0.75
+
+
 def test_align():
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
