@@ -4,21 +4,24 @@ Time is cut in slots, one block of documents each. Block j of a source with weig
 floor(j / w) and due by ceil((j + 1) / w); the earliest deadline among the released blocks goes next. The number of
 blocks of a source in any prefix of the stream then differs from its weight's share by less than one.
 
-Weights are integers of sum Q, so the schedule repeats after Q slots, with every deviation zero: one period is worked
-out on the driver and each block finds its slot by its number. When a source has no blocks left a new phase begins, in
-which the others' weights share the stream; there are at most as many phases as sources. All documents are placed, each
-once.
+Weights are taken as exact rationals, never rounded, so the bound holds against the target weights however long the
+stream is and however many sources it has. The driver works the schedule out block by block, in exact integers: a heap
+step and 8 bytes for each block, none for a document; each block finds its slot by its number. When a source has no
+blocks left a new phase begins, in which the others' weights share the stream. All documents are placed, each once.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total
+from .common import running_total, small
 
 ROWS_IN_A_BUCKET = 20_000
 
@@ -53,28 +56,40 @@ def period(q: dict) -> list:
     return slots
 
 
-def plan(blocks: dict, weights: dict, slots: int = 1024) -> list[dict]:
-    """Phases: the first slot, first block of each source, integer weights and period, until all blocks are placed."""
-    left, done, at, phases = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    left = {k: n for k, n in left.items() if n > 0}
-    while left:
-        q = integer_weights({k: weights[k] for k in left}, slots)
-        seq = period(q)
-        places = {k: [i for i, s in enumerate(seq) if s == k] for k in q}
-        size = len(seq)
-        # the phase ends with the first source that has placed its last block
-        last = {k: (left[k] - 1) // q[k] * size + places[k][(left[k] - 1) % q[k]] for k in left}
-        end = min(last.values()) + 1
-        phases.append({"at": at, "first": {k: done[k] for k in left}, "q": q, "places": places, "size": size})
-        for k in list(left):
-            full, part = divmod(end, size)
-            n = full * q[k] + sum(p < part for p in places[k])
-            done[k] += n
-            left[k] -= n
-            if not left[k]:
-                del left[k]
-        at += end
-    return phases
+def exact(weights: dict) -> dict:
+    """Integers in the very proportions of the weights."""
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    scale = math.lcm(*(p.denominator for p in parts.values()))
+    return {k: p.numerator * (scale // p.denominator) for k, p in parts.items()}
+
+
+def plan(blocks: dict, weights: dict) -> dict:
+    """The slot of each block of each source, in the order of the blocks."""
+    out = {k: array("q") for k, n in blocks.items() if n > 0}
+    q = exact({k: weights[k] for k in out}) if out else {}
+    total, at = sum(q.values()), 0
+    # a phase's first blocks are all released at its start, due in this order: only those that are reached cost a step
+    first = sorted(out, key=lambda k: (-q[k], str(k)))
+    rank = {k: i for i, k in enumerate(first)}
+    while first:
+        waiting, ready, new, t = [], [], 0, 0
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, i, k, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * total // q[k]), i, k, j))
+            if new < len(first) and (not ready or -(-total // q[first[new]]) <= ready[0][0]):
+                k, j, new = first[new], 0, new + 1
+            else:
+                _, _, k, j = heapq.heappop(ready)
+            out[k].append(at + t)
+            t += 1
+            if len(out[k]) == blocks[k]:
+                break
+            heapq.heappush(waiting, ((j + 1) * total // q[k], rank[k], k, j + 1))
+        first.remove(k)
+        total -= q[k]
+        at += t
+    return out
 
 
 def tempered(sizes: dict, power: float = 0.5) -> dict:
@@ -92,7 +107,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 64, slots: in
 
     Null source: a source of its own. Null doc_id: last in its source. Rows with one doc_id stand next to each other in
     unspecified order; equal rows are interchangeable. Empty table: empty result. Only one number for each source goes
-    to the driver, and one period of `slots` slots comes back. A source with a third of all rows is numbered in buckets.
+    to the driver, and one for each block comes back, in a table with `slots` blocks a row. A source with a third of all
+    rows is numbered in buckets.
     """
     new = ["block", "slot", "place", "position"]
     mine = [c for c in docs.columns if c not in new] if whole else ["doc_id", "source"]
@@ -102,21 +118,18 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 64, slots: in
     if not sizes:
         return docs.select(*mine, *[F.lit(0).cast("int" if c == "place" else "long").alias(c) for c in new])
     target = tempered(sizes, power) | {k: w for k, w in (weights or {}).items() if k in sizes}
-    phases = plan({k: -(-n // block) for k, n in sizes.items()}, target, slots)
+    placed = plan({k: -(-n // block) for k, n in sizes.items()}, target)
     buckets = max(1, sum(sizes.values()) // ROWS_IN_A_BUCKET)
     rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.expr(f"floor((h / 18446744073709551616D + 0.5D) * {buckets}L)"))
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(buckets + 1)).otherwise(F.col("bucket")))
     rows = running_total(rows, ["source"], "bucket", ["h", "doc_id"], F.lit(1), "number")
     rows = rows.withColumns({"block": F.floor(F.col("number") / block), "place": (F.col("number") % block).cast("int")})
-    data = [(k, i, p["first"][k], p["at"], p["q"][k], p["size"], p["places"][k]) for i, p in enumerate(phases) for k in p["q"]]
-    table = spark.createDataFrame(data, "s string, phase int, first long, at long, q int, size int, places array<int>")
-    upto = F.expr("coalesce(lead(first) over (partition by s order by phase), 9223372036854775807)")
-    table = table.withColumn("upto", upto)
-    # phases x sources rows: bounded by the square of the number of sources, checked before it is broadcast
-    table = F.broadcast(table) if len(data) <= 20_000 else table
+    data = [(k, i // slots, at[i : i + slots]) for k, at in placed.items() for i in range(0, len(at), slots)]
+    names, types = ["s", "part", "places"], [pa.string(), pa.int64(), pa.list_(pa.int64())]
+    table = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*data), types)], names=names))
+    # 8 bytes a block: bounded before it is broadcast
+    table = small(table, max(1, 2_000_000 // slots))
     b = F.col("block")
-    placed = rows.join(table, F.col("source").eqNullSafe(F.col("s")) & (b >= F.col("first")) & (b < F.col("upto")))
-    n = b - F.col("first")
-    slot = F.col("at") + F.floor(n / F.col("q")) * F.col("size") + F.get("places", (n % F.col("q")).cast("int"))
-    out = placed.select("row.*", "block", slot.cast("long").alias("slot"), "place")
+    found = rows.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.floor(b / slots) == F.col("part")))
+    out = found.select("row.*", "block", F.get("places", (b % slots).cast("int")).alias("slot"), "place")
     return out.withColumn("position", F.col("slot") * block + F.col("place"))

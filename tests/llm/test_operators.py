@@ -208,6 +208,23 @@ def test_pfair(spark):
     assert pfair.mix(df.limit(0)).count() == 0 and pfair.mix(df, whole=True).count() == len(rows)
 
 
+def test_pfair_target_weights(spark):
+    """Less than one block off the weights as given: in a long stream, with more than 1024 sources, as columns of mix."""
+    for blocks, weights in [({"hot": 40_000} | {f"s{i}": 9_000 for i in range(20)}, {"hot": 139.8} | {f"s{i}": 44.21 for i in range(20)}), ({i: 60 if i else 3_000 for i in range(1100)}, {i: 1.0 if i else 100.0 for i in range(1100)})]:
+        slots, total = pfair.plan(blocks, weights), sum(weights.values())
+        assert {k: len(x) for k, x in slots.items()} == blocks and sorted(t for x in slots.values() for t in x) == list(range(sum(blocks.values())))
+        end = min(x[-1] for x in slots.values())
+        for k, x in slots.items():
+            t, w = np.array([y for y in x if y <= end]), weights[k] / total
+            before, n = t * w, np.arange(len(t))
+            assert (np.abs(n - before) < 1).all() and (np.abs(n + 1 - before - w) < 1).all()
+    rows = [(i, f"s{i % 1100}" if i % 3 else "hot") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = pfair.mix(df, {"hot": 1100.0} | {f"s{i}": 1.0 for i in range(1100)}, block=1).collect()
+    assert sorted(r.position for r in got) == list(range(9000))
+    assert abs(sum(r.source == "hot" for r in got if r.slot < 2200) - 1100) <= 1
+
+
 def test_decontaminate(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
