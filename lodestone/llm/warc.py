@@ -26,6 +26,8 @@ END = "\r\n\r\n"
 URN = "urn:page:"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 FIELD = re.compile(rb"(?m)^([A-Za-z-]+): *([^\r\n]*)\r?$")
+#: The fields that are read.
+KEYS = (b"content-length", b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-target-uri", b"warc-payload-digest")
 #: Payloads shorter than this are stored again rather than referred to.
 REVISIT_FROM = 100
 
@@ -58,29 +60,39 @@ def write(pages: DataFrame, path: str, records_per_file: int = 4000) -> None:
     records(pages).select("value").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _parse(content, at: int, header_limit: int) -> tuple | None:
-    """(offset of the block, successor, fields) of the record whose magic stands at `at`; None if it is no record."""
-    end = content.find(b"\r\n\r\n", at, at + header_limit)
-    if end < 0:
-        return None
-    fields = {k.lower(): v for k, v in FIELD.findall(content[at:end])}
-    length = fields.get(b"content-length", b"")
-    if not length.isdigit() or b"warc-type" not in fields:
-        return None
-    after = end + 4 + int(length)
-    return (end + 4, after + 4, fields) if content[after : after + 4] == b"\r\n\r\n" else None
+class Heads:
+    """Headers of one archive, asked for in order of their offsets. A header ends at the next blank line, however far that
+    is; the bytes up to it are searched once, for all candidates before it."""
 
+    def __init__(self, content: bytes):
+        self.content, self.end, self.fields = content, None, {}
 
-def _candidates(range_bytes: int, header_limit: int, with_payload: bool):
+    def parse(self, at: int) -> tuple | None:
+        """(offset of the block, successor, fields) of the record whose magic stands at `at`; None if it is no record."""
+        if self.end is None or 0 <= self.end < at:
+            self.end = self.content.find(b"\r\n\r\n", at)
+            self.fields = {m[1].lower(): (at + m.start(), m[2]) for m in FIELD.finditer(self.content[at : self.end])}
+        if self.end < 0:
+            return None
+        fields = {k: self.fields[k][1] for k in KEYS if k in self.fields and self.fields[k][0] >= at}
+        length = fields.get(b"content-length", b"")
+        if not length.isdigit() or b"warc-type" not in fields:
+            return None
+        after = self.end + 4 + int(length)
+        return (self.end + 4, after + 4, fields) if self.content[after : after + 4] == b"\r\n\r\n" else None
+
+
+def _candidates(range_bytes: int, with_payload: bool):
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
                 content = data.as_buffer().to_pybytes()
+                heads = Heads(content)
                 for lo in range(0, len(content), range_bytes):
                     hi = min(lo + range_bytes, len(content))
                     rows = []
                     for m in MAGIC.finditer(content, lo, min(hi + 9, len(content))):
-                        if m.start() < hi and (found := _parse(content, m.start(), header_limit)):
+                        if m.start() < hi and (found := heads.parse(m.start())):
                             block, succ, fields = found
                             text = {k: fields[k].decode("utf-8", "replace") for k in fields}
                             body = content[block : succ - 4]
@@ -140,7 +152,7 @@ def _walk(pdf):
     return pdf[keep].drop(columns=["entry"])
 
 
-def read(spark: SparkSession, path: str, range_bytes: int = 1 << 20, header_limit: int = 1 << 16, with_payload: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, range_bytes: int = 1 << 20, with_payload: bool = False) -> DataFrame:
     """The records of the archives below path, one row each: file, at, record_type, record_id, refers_to_id, uri,
     payload_bytes, payload_digest (SHA-256 of the payload as read; of a revisit as its header says), payload.
 
@@ -149,7 +161,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = 1 << 20, header_limi
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     shape = ", ".join(f"{n} {'binary' if n == 'payload' else 'long' if t == pa.int64() else 'string'}" for n, t in zip(_names(with_payload), _types(with_payload)))
-    rows = cut(files.mapInArrow(_candidates(range_bytes, header_limit, with_payload), shape))
+    rows = cut(files.mapInArrow(_candidates(range_bytes, with_payload), shape))
     entries = reached(rows).withColumn("entry", F.lit(True))
     chain = rows.select("file", "range", "at", "succ").join(entries, ["file", "at"], "left").select("file", "range", "at", "succ", F.coalesce("entry", F.lit(False)).alias("entry"))
     kept = chain.groupBy("file", "range").applyInPandas(_walk, "file string, range long, at long, succ long").select("file", "at")

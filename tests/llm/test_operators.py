@@ -180,6 +180,32 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_long_urls(spark):
+    rows = [(i, "http://a/" + ("x" * 70_000 if i % 3 == 0 else "ü" * 200_000 if i == 4 else f"{i}/WARC/1.1"), f"page {i}") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.payload_digest for r in warc.round_trip(pages).collect()}
+    assert got == {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows}
+
+
+def test_warc_headers():
+    """As if each candidate were parsed by itself, also where magic stands within headers."""
+    r, seen = random.Random(6), 0
+    parts = [b"WARC/1.1\r\n", b"WARC-Type: response\r\n", b"WARC-Type: resource\r\n", b"Content-Length: 0\r\n", b"Content-Length: 10\r\n", b"\r\n", b"\r\n\r\n", b"x"]
+    for _ in range(3000):
+        content = b"".join(r.choice(parts) for _ in range(r.randint(1, 30)))
+        heads = warc.Heads(content)
+        for m in warc.MAGIC.finditer(content):
+            want, end = None, content.find(b"\r\n\r\n", m.start())
+            if end >= 0:
+                fields = {k.lower(): v for k, v in warc.FIELD.findall(content[m.start() : end])}
+                after = end + 4 + int(fields.get(b"content-length", b"-1"))
+                if b"content-length" in fields and b"warc-type" in fields and content[after : after + 4] == b"\r\n\r\n":
+                    want = (end + 4, after + 4, {k: v for k, v in fields.items() if k in warc.KEYS})
+            assert heads.parse(m.start()) == want
+            seen += want is not None
+    assert seen > 100
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.Example.com/en/a?x"), (2, "https://m.example.com/en/"), (3, "http://a.net/es/1#t"), (4, None), (5, "no scheme"), (6, "http://b.org"), (7, "http://notcom/"), (8, "http://a.net/fr")]
     outcomes = spark.createDataFrame([(100 + i, 1) for i in range(20)] + [(200 + i, 0) for i in range(80)] + [(1, None)], "page_id long, bad int")
