@@ -1,4 +1,10 @@
-"""Build an index: scan, extract, resolve, derive, write Parquet tables; read it back."""
+"""Build an index: scan, extract, resolve, derive, write Parquet tables; read it back.
+
+A run over an index that exists extracts only the files that are new or changed and takes the other files' symbols and
+references from the last run. They stand in two generations of tables, so that a run never overwrites what it reads;
+`meta`, written last, names the valid one. Resolution and all that follows cover the whole index, so no edge keeps a
+target that is gone.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +12,13 @@ import json
 import os
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.extract.csharp import extract_files
-from lodestone.operators import derive, resolve
+from lodestone.operators import derive, incremental, resolve
 from lodestone.sources import ignore, tree
 
 
@@ -25,15 +32,50 @@ def _raw_edges(parsed: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def build(spark: SparkSession, root: str, out: str, *, csproj: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), gitignore: str = "", literals: bool = False, mvvm: bool = False, store_content: bool = False) -> dict[str, int]:
-    """Index the C# files below root to Parquet tables below out; returns the number of rows of each table."""
+def _stored_meta(spark: SparkSession, out: str) -> dict:
+    """The metadata of the last finished run; empty where there is none."""
+    try:
+        return {r.key: json.loads(r.value) for r in spark.read.schema(schemas.META).parquet(f"{out}/meta").collect()}
+    except AnalysisException:
+        return {}
+
+
+def _extract(scan: DataFrame, stored: DataFrame | None, force: bool, literals: bool) -> DataFrame:
+    """path, fingerprint, symbols, edges and error of all files: stored rows, replaced where a file is new or changed.
+
+    A file that fails keeps its earlier symbols and edges, and no fingerprint, so that the next run tries it again."""
+    marks = list(incremental.FINGERPRINT)
+    dirty = scan if stored is None else incremental.dirty_files(scan, stored, force)
+    new = extract_files(dirty, literals).join(dirty.select("path", *marks), "path")
+    if stored is None:
+        earlier = new.select("path", F.lit(None).alias("_s"), F.lit(None).alias("_e")).limit(0)
+    else:
+        earlier = stored.select("path", F.col("symbols").alias("_s"), F.col("edges").alias("_e"))
+    failed = F.col("error").isNotNull()
+    pick = lambda old, c: F.when(failed, F.col(old)).otherwise(F.col(c)).alias(c)
+    new = new.join(earlier, "path", "left").select("path", *[F.when(~failed, F.col(c)).alias(c) for c in marks], pick("_s", "symbols"), pick("_e", "edges"), "error")
+    return new if stored is None else incremental.replace_files(stored, new, "path")
+
+
+def build(spark: SparkSession, root: str, out: str, *, csproj: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), gitignore: str = "", literals: bool = False, mvvm: bool = False, store_content: bool = False, force: bool = False, prune_missing: bool = False) -> dict[str, int]:
+    """Index the C# files below root to Parquet tables below out; returns the number of rows of each table.
+
+    Where out holds a finished index, only new and changed files are extracted, or all with `force` or when `literals` is
+    not as it was. Files that the scan no longer finds stay in the index unless `prune_missing`.
+    """
     began = time.time()
-    texts = tree.scan_files(spark, root, ignore.build_spec(gitignore, extra_ignore))
-    files = derive.with_ids(texts.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")), "folder", ["path"])
-    _write(files if store_content else files.withColumn("content", F.col("content")), out, "_scan")
-    files = spark.read.parquet(f"{out}/_scan")
-    _write(extract_files(files, literals), out, "_parsed")
-    parsed = spark.read.parquet(f"{out}/_parsed").where("error is null")
+    meta = _stored_meta(spark, out)
+    last, now = meta.get("generation"), 1 - meta.get("generation", 1)
+    scan = tree.scan_files(spark, root, ignore.build_spec(gitignore, extra_ignore))
+    stored = None if last is None else spark.read.parquet(f"{out}/_parsed{last}")
+    if last is not None:
+        before = spark.read.parquet(f"{out}/_scan{last}").select(*scan.columns)
+        scan, stored = (scan, stored.join(scan.select("path"), "path", "left_semi")) if prune_missing else (incremental.upsert(before, scan, "path"), stored)
+    files = derive.with_ids(scan.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")), "folder", ["path"])
+    _write(files, out, f"_scan{now}")
+    files = spark.read.parquet(f"{out}/_scan{now}")
+    _write(_extract(files, stored, force or meta.get("literals") != literals, literals), out, f"_parsed{now}")
+    parsed = spark.read.parquet(f"{out}/_parsed{now}")
     syms = parsed.select("path", F.posexplode("symbols").alias("seq", "s")).select("path", "seq", "s.*").join(files.select("path", F.col("id").alias("file_id")), "path").drop("path")
     _write(derive.with_ids(syms, "file_id", ["seq"]), out, "symbols")
     symbols = spark.read.parquet(f"{out}/symbols")
@@ -65,7 +107,7 @@ def build(spark: SparkSession, root: str, out: str, *, csproj: DataFrame | None
     _write(derive.folders(files), out, "folders")
     _write(files if store_content else files.drop("content"), out, "files")
     counts = {t: spark.read.parquet(f"{out}/{t}").count() for t in ("files", "symbols", "edges", "projects", "features")}
-    meta = {"last_index_ms": int((time.time() - began) * 1000), "tables": list(schemas.TABLES)}
+    meta = {"last_index_ms": int((time.time() - began) * 1000), "tables": list(schemas.TABLES), "generation": now, "literals": literals}
     spark.createDataFrame([(k, json.dumps(v)) for k, v in meta.items()], schemas.META).write.mode("overwrite").parquet(f"{out}/meta")
     return counts
 

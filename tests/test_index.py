@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone import index
 from lodestone.export import notes
+from lodestone.extract import csharp
 from lodestone.extract.csharp import extract
 from lodestone.functions import text as T
 from lodestone.operators import read, sqlapi
@@ -65,6 +66,36 @@ def test_index_end_to_end(spark, tmp_path):
         index.load(spark, str(tmp_path / "absent"))
 
 
+def test_index_incremental(spark, tmp_path, monkeypatch):
+    src, out, seen = tmp_path / "src", str(tmp_path / "out"), []
+    src.mkdir()
+    (src / "a.cs").write_text("class A { void F() {} }")
+    (src / "b.cs").write_text("class B : A { }")
+    (src / "c.cs").write_text("class C { }")
+
+    def extracted(files, literals=False):
+        rows = files.select("path", "content").collect()
+        seen.append(sorted(r.path.rsplit("/", 1)[1] for r in rows))
+        got = [(r.path, [], [], "parse: broken") if "BROKEN" in r.content else (r.path, *extract(r.content)) for r in rows]
+        return spark.createDataFrame(got, f"path string, symbols array<{csharp.SYMBOL}>, edges array<{csharp.EDGE}>, error string")
+
+    monkeypatch.setattr(index, "extract_files", extracted)
+    names = lambda: {r.name for r in index.load(spark, out)["symbols"].collect()}
+    index.build(spark, str(src), out)
+    assert seen.pop() == ["a.cs", "b.cs", "c.cs"] and names() == {"A", "F", "B", "C"}
+    (src / "a.cs").write_text("class A2 { void F() {} }")
+    (src / "c.cs").write_text("BROKEN")
+    (src / "d.cs").write_text("class D { }")
+    (src / "b.cs").unlink()
+    index.build(spark, str(src), out)
+    assert seen.pop() == ["a.cs", "c.cs", "d.cs"] and names() == {"A2", "F", "B", "C", "D"}
+    t = index.load(spark, out)
+    assert [r.dst_symbol_id for r in t["edges"].where("edge_type = 'inherits'").collect()] == [None]
+    (src / "c.cs").write_text("class C2 { }")
+    assert index.build(spark, str(src), out, prune_missing=True)["files"] == 3
+    assert seen.pop() == ["c.cs"] and names() == {"A2", "F", "C2", "D"}
+
+
 def test_sql_guard(spark):
     for bad in ("drop table x", "insert into t values (1)", "with a as (select 1) insert into t select * from a"):
         with pytest.raises(Exception):
