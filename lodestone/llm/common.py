@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few narrow columns may be broadcast (16 bytes a row: about 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a table may be broadcast, as it lies in a hash table: each row counts 48 bytes besides its columns.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,16 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows (a narrow, already cut table), else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a cut table) marked for broadcast if it takes at most `most` bytes, else df for a shuffled join.
+
+    Fixed columns count 8 bytes, strings and arrays what they hold."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array")]
+    fixed = 48 + 8 * len(df.columns)
+    length = {f.name: F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else 8 * F.size(f.name) for f in df.schema.fields if f.name in wide}
+    each = sum((F.coalesce(x, F.lit(0)) for x in length.values()), F.lit(fixed))
+    size = df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -127,8 +127,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 64, slots: in
     data = [(k, i // slots, at[i : i + slots]) for k, at in placed.items() for i in range(0, len(at), slots)]
     names, types = ["s", "part", "places"], [pa.string(), pa.int64(), pa.list_(pa.int64())]
     table = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*data), types)], names=names))
-    # 8 bytes a block: bounded before it is broadcast
-    table = small(table, max(1, 2_000_000 // slots))
+    table = small(table)
     b = F.col("block")
     found = rows.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.floor(b / slots) == F.col("part")))
     out = found.select("row.*", "block", F.get("places", (b % slots).cast("int")).alias("slot"), "place")
