@@ -38,10 +38,15 @@ class Model:
         return np.stack([(t[2 * j + 1][:, None] + t[2 * j][None]).reshape(65536, -1) for j in range(WIDTH // 2)])
 
 
+#: Steps at the end of a text's last block whose filters would read the next text: left out, they hold only filling.
+BEYOND = WIDTH // 2 - 1
+
+
 def padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte pairs of all texts, each filled up to whole blocks with zero bytes, and the number of blocks of each."""
+    """Byte pairs of all texts, each filled up with BEYOND pairs of zero bytes or more to whole blocks, and the number of
+    blocks of each."""
     n = np.diff(offsets)
-    blocks = np.maximum(1, -(-n // (2 * BLOCK)))
+    blocks = np.maximum(1, -(-(n + 2 * BEYOND) // (2 * BLOCK)))
     out = np.zeros((int(blocks.sum()) * BLOCK + WIDTH) * 2, np.uint8)
     at = np.concatenate([[0], np.cumsum(blocks)[:-1]]) * 2 * BLOCK
     for i in range(len(n)):
@@ -49,10 +54,12 @@ def padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out.view("<u2"), blocks
 
 
-def block_maxima(pairs: np.ndarray, paired: np.ndarray, piece: int = 512) -> np.ndarray:
-    """Largest output of each filter in each block, [blocks, filters]."""
+def block_maxima(pairs: np.ndarray, counts: np.ndarray, paired: np.ndarray, piece: int = 512) -> np.ndarray:
+    """Largest output of each filter in each block, [blocks, filters], of texts with counts blocks each."""
     total = (len(pairs) - WIDTH) // BLOCK
     out = np.empty((total, paired.shape[2]), np.float32)
+    last = np.zeros(total, bool)
+    last[np.cumsum(counts) - 1] = True
     for a in range(0, total, piece):
         b = min(a + piece, total)
         x = pairs[a * BLOCK : b * BLOCK + WIDTH]
@@ -60,7 +67,9 @@ def block_maxima(pairs: np.ndarray, paired: np.ndarray, piece: int = 512) -> np.
         y = paired[0][x[:n]]
         for j in range(1, WIDTH // 2):
             y += paired[j][x[j : j + n]]
-        out[a:b] = y.reshape(b - a, BLOCK, -1).max(1)
+        y = y.reshape(b - a, BLOCK, -1)
+        y[last[a:b], -BEYOND:] = -np.inf
+        out[a:b] = y.max(1)
     return out
 
 
@@ -75,8 +84,9 @@ def chunk_features(blocks: np.ndarray, counts: np.ndarray, bias: np.ndarray) ->
 
 def scores(model: Model, paired: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pairs, counts = padded(raw, offsets)
-    x = chunk_features(block_maxima(pairs, paired), counts, model.bias)
-    return 1 / (1 + np.exp(-np.clip(x @ model.out + model.intercept, -30, 30)))
+    x = chunk_features(block_maxima(pairs, counts, paired), counts, model.bias)
+    # summed row by row: a matrix product may round differently with other numbers of rows
+    return 1 / (1 + np.exp(-np.clip((x * model.out).sum(1) + model.intercept, -30, 30)))
 
 
 def train(texts: list[bytes], labels: np.ndarray, filters: int = 16, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 5, share: float | None = None) -> Model:
@@ -108,6 +118,7 @@ def train(texts: list[bytes], labels: np.ndarray, filters: int = 16, epochs: int
             for j in range(1, WIDTH):
                 y += tables[j][raw[starts + j]]
             y = y.reshape(total, BLOCK, filters)
+            y[np.cumsum(counts) - 1, -BEYOND:] = -np.inf
             arg = y.argmax(1)
             blocks = np.take_along_axis(y, arg[:, None], 1)[:, 0]
             last = np.cumsum(counts) - 1
@@ -150,7 +161,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, longe
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = [ids.where(f"label = {v}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for v in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most `rows` rows of two numbers
-    got = docs.join(chosen, "doc_id").where(F.octet_length("text") <= longest).select("doc_id", "text", "label")
+    got = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.octet_length("text") <= longest)
     return got.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
 
 
@@ -164,7 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, predicted for each row of docs (doc_id, text).
 
-    Null and empty texts are scored as one block of zero bytes. Null doc_ids keep their rows. Other columns are unread.
+    A score is a function of the text alone, whatever texts stand beside it. Null and empty texts are scored as one block
+    of zero bytes, very long texts whole, one at a time. Null doc_ids and repeated rows keep their rows, with equal scores
+    for equal texts. A score at the threshold is accepted. Empty table: empty result. Other columns, whatever their names,
+    are not read.
     """
 
     def run(batches):
@@ -179,7 +193,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose text reaches the threshold: rows pass through the network's tasks as they are."""
+    """The rows of docs, all columns, whose text reaches the threshold: rows pass through the network's tasks as they are.
+
+    Null doc_ids and repeated rows are judged as any other; null and empty texts as in `score`."""
 
     def run(batches):
         paired = model.paired()
