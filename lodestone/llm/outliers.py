@@ -1,9 +1,11 @@
 """Quality rules: base rules on word statistics, then robust multivariate outliers per language and source.
 
-For each (lang, source) the minimum-covariance-determinant estimate of location and scatter is found by concentration
-steps over all its rows: from medians and median deviations, the rows with the smallest distances give the next mean
-and covariance. Each step is an aggregate over all rows, combined before the shuffle; no group is gathered anywhere.
-Rows beyond a quantile of the chi-squared distribution of the squared Mahalanobis distance are rejected.
+For each (lang, source) the minimum-covariance-determinant estimate of location and scatter is looked for over all its
+rows: from several deterministic starts, concentration steps take the rows with the smallest distances for the next mean
+and covariance; after two steps the start whose covariance has the least determinant goes on until the determinant no
+longer falls. Each step is an aggregate over all rows, combined before the shuffle, and the estimates are a table with a
+row for each group: no group and no list of groups is gathered anywhere. Rows beyond a quantile of the chi-squared
+distribution of the squared Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Words, bytes_of, cut, long, powers, prefix, slices, span
+from .common import WHITE, Words, bytes_of, cut, long, powers, prefix, slices, small, span
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -76,8 +78,10 @@ def transformed() -> list:
 
 D = 5
 GROUP = ["lang", "source"]
-#: Least standard deviation of each coordinate: a constant statistic must not reject every other value.
-FLOOR = [0.5, 0.75, 0.1, 0.15, 0.25]
+#: Least standard deviation of each coordinate: a constant statistic must not reject every other value. A twelfth of the
+#: words in repeated lines, or 0.43 of them in repeated windows, reject a text where no other text has any.
+FLOOR = [0.5, 0.75, 0.1, 0.05, 0.11]
+ESTIMATE = "lang string, source string, start int, e array<double>, logdet double, before double"
 
 
 def _distance():
@@ -91,51 +95,91 @@ def _distance():
     return total
 
 
-def _with_estimates(rows: DataFrame, est: dict) -> DataFrame:
-    """rows with e, the group's mean and doubled upper triangle of the inverse covariance.
-
-    One row for each (lang, source): broadcast up to 20,000 groups (3 MB), a shuffled join beyond.
-    """
-    data = [(*k, [float(x) for x in v]) for k, v in est.items()]
-    table = rows.sparkSession.createDataFrame(data, "lang_ string, source_ string, e array<double>")
-    table = F.broadcast(table) if len(data) <= 20_000 else table
-    return rows.join(table, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))).drop("lang_", "source_")
+def _beside(rows: DataFrame, table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with columns of a cut table that has a row for each value of the keys, nulls included: broadcast if small."""
+    table = small(table.select(*[F.col(k).alias(f"{k}_") for k in keys], *columns))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return rows.join(table, same).drop(*[f"{k}_" for k in keys])
 
 
-def _packed(mean: np.ndarray, cov: np.ndarray) -> list[float]:
+def packed(mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], float]:
+    """Mean and doubled upper triangle of the inverse covariance, and the logarithm of the determinant."""
+    cov = np.array(cov, float)
     for i in range(D):
         cov[i, i] = max(cov[i, i], FLOOR[i] ** 2)
     # floors may have raised only some variances; shrinking the others' correlations keeps the matrix well conditioned
     s = np.sqrt(np.diag(cov))
     c = 0.9 * cov / np.outer(s, s) + 0.1 * np.eye(D)
     inv = np.linalg.inv(c) / np.outer(s, s)
-    return [*mean, *(inv[i, j] * (1 if i == j else 2) for i in range(D) for j in range(i, D))]
-
-
-def fit(rows: DataFrame, keep: float = 0.75, steps: int = 4) -> dict:
-    """(lang, source) -> packed estimate, from all the given rows (lang, source, x0..x4), cut beforehand."""
-    mid = rows.groupBy(*GROUP).agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in range(D)])
-    est = {}
-    for r in mid.collect():  # one row for each (lang, source)
-        q = np.array([r[f"q{i}"] for i in range(D)])
-        est[(r.lang, r.source)] = _packed(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
-    if not est:
-        return est
-    upper = [(i, j) for i in range(D) for j in range(i, D)]
-    for _ in range(steps):
-        far = _with_estimates(rows, est).withColumn("d2", _distance()).drop("e")
-        limit = far.groupBy(*GROUP).agg(F.percentile_approx("d2", keep, 2000).alias("h")).collect()
-        bound = rows.sparkSession.createDataFrame([(r.lang, r.source, r.h) for r in limit], "l string, s string, h double")
-        bound = F.broadcast(bound) if len(limit) <= 20_000 else bound
-        near = far.join(bound, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).where("d2 <= h")
-        sums = near.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in upper])
-        for r in sums.collect():
-            mean = np.array([r[f"s{i}"] for i in range(D)]) / r.n
-            cov = np.zeros((D, D))
-            for i, j in upper:
-                cov[i, j] = cov[j, i] = r[f"p{i}{j}"] / r.n - mean[i] * mean[j]
-            # rows cut off at a quantile have too small a scatter: the factor for `keep` of a normal sample
-            est[(r.lang, r.source)] = _packed(mean, cov * keep / _chi2_share(keep))
+    return [*map(float, mean), *(float(inv[i, j]) * (1 if i == j else 2) for i in range(D) for j in range(i, D))], float(np.linalg.slogdet(c)[1] + 2 * np.log(s).sum())
+
+
+UPPER = [(i, j) for i in range(D) for j in range(i, D)]
+
+
+def _sums() -> list:
+    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in UPPER]]
+
+
+def _moments(r) -> tuple[np.ndarray, np.ndarray]:
+    mean, cov = np.array([r[f"s{i}"] for i in range(D)]) / r["n"], np.zeros((D, D))
+    for i, j in UPPER:
+        cov[i, j] = cov[j, i] = r[f"p{i}{j}"] / r["n"] - mean[i] * mean[j]
+    return mean, cov
+
+
+def _estimates(make):
+    """mapInArrow function: make(row) gives the (start, mean, covariance) triples of a group's row of sums."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                for start, mean, cov in make(r):
+                    out.append((r["lang"], r["source"], start, *packed(mean, cov), r.get("before", float("inf"))))
+            if out:
+                types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["lang", "source", "start", "e", "logdet", "before"])
+
+    return run
+
+
+def _starts(r):
+    """Medians with the spread of the quartiles, all rows' mean and covariance, medians with the floors."""
+    q = np.array([r[f"q{i}"] for i in range(D)])
+    return [(0, q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2)), (1, *_moments(r)), (2, q[:, 1], np.diag(np.square(FLOOR)))]
+
+
+def _concentrate(rows: DataFrame, est: DataFrame, keep: float) -> DataFrame:
+    """The estimates from the rows that are nearest by the estimates before; cut."""
+    # rows cut off at a quantile have too small a scatter: the factor for `keep` of a normal sample
+    scale = keep / _chi2_share(keep)
+    far = _beside(rows, est, GROUP, ["start", "e", "logdet"]).withColumn("d2", _distance()).drop("e")
+    by = [*GROUP, "start"]
+    bound = cut(far.groupBy(*by).agg(F.percentile_approx("d2", keep, 2000).alias("h")))
+    near = _beside(far, bound, by, ["h"]).where("d2 <= h").groupBy(*by).agg(*_sums(), F.first("logdet").alias("before"))
+
+    def next_one(r):
+        mean, cov = _moments(r)
+        return [(r["start"], mean, cov * scale)]
+
+    return cut(near.mapInArrow(_estimates(next_one), ESTIMATE))
+
+
+def fit(rows: DataFrame, keep: float = 0.75, steps: int = 12, tolerance: float = 0.01) -> DataFrame:
+    """lang, source, start, e (packed estimate), logdet: a row for each group, from all the rows (lang, source, x0..x4), a
+    cut table. Steps end when no logdet changes by more than tolerance, at the latest after `steps`."""
+    quartiles = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in range(D)]
+    est = cut(rows.groupBy(*GROUP).agg(*quartiles, *_sums()).mapInArrow(_estimates(_starts), ESTIMATE))
+    for step in range(steps):
+        est = _concentrate(rows, est, keep)
+        if step == 1:
+            best = est.groupBy(*GROUP).agg(F.min_by(F.struct("start", "e", "logdet", "before"), F.struct("logdet", "start")).alias("b"))
+            est = cut(best.select(*GROUP, "b.*"))
+        if step > 1 and not (est.agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0] or 0) > tolerance:
+            break
     return est
 
 
@@ -155,15 +199,13 @@ def judge(docs: DataFrame, limit: float = CHI2_5[0.999999], min_words: int = 50,
     The others are rejected if their squared Mahalanobis distance within their lang and source is above limit.
 
     Null or empty text: no words, so base_failed. Null lang or source: a group of their own. A group whose statistics
-    are constant gets floors for its variances, so ties do not reject. Null doc_id and repeated rows keep their rows.
-    An empty table gives an empty result. Columns besides doc_id, text, lang and source are not read.
+    are constant gets floors for its variances, so ties do not reject. A distance at the limit is kept. Null doc_id and
+    repeated rows keep their rows. Very long texts are read whole. An empty table gives an empty result. Columns besides
+    doc_id, text, lang and source are not read.
     """
     stats = cut(statistics(docs)).withColumn("base_failed", F.expr(f"n_words < {min_words} or 100 * n_repeat_words > {max_repeat_percent} * n_words"))
-    rows = stats.where("not base_failed").select(*GROUP, *transformed())
-    est = fit(rows)
-    if not est:
-        return stats.select("doc_id", *STATS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
-    good = _with_estimates(stats.where("not base_failed").select("*", *transformed()), est).withColumn("distance", _distance())
+    rows = cut(stats.where("not base_failed").select(*GROUP, *transformed()))
+    good = _beside(stats.where("not base_failed").select("*", *transformed()), fit(rows), GROUP, ["e"]).withColumn("distance", _distance())
     good = good.select("doc_id", *STATS, "base_failed", "distance", (F.col("distance") <= limit).alias("kept"))
     bad = stats.where("base_failed").select("doc_id", *STATS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return good.union(bad)
