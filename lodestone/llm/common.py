@@ -63,6 +63,13 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as make it differ from all columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: str = "doc_id"):
     return (F.crc32(F.col(doc_id).cast("string")) % 3) == 1
 
@@ -73,11 +80,13 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-#: Separators for words of letters: all ASCII but letters.
+#: Separators for words of letters: all ASCII but letters; and for words of letters and digits.
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[0x80:] = False
 for _c in range(26):
     NO_LETTER[65 + _c] = NO_LETTER[97 + _c] = False
+NO_WORD = NO_LETTER.copy()
+NO_WORD[48:58] = False
 BYTE_HASH = np.random.RandomState(7).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE_HASH_LOWER = BYTE_HASH.copy()
 BYTE_HASH_LOWER[65:91] = BYTE_HASH[97:123]
@@ -203,8 +212,9 @@ def long(x: np.ndarray) -> pa.Array:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of edges(a, b): component is the smallest id that can be reached.
 
-    Alternating large-star and small-star steps. Only minima are gathered for a node, never its neighbours, so a hub
-    with any number of links is spread over tasks. Empty input gives an empty table.
+    Alternating large-star and small-star steps. Only minima are gathered for a node, never its neighbours, and they
+    are combined before the shuffle; the joins on a hub's rows are sort-merge joins that AQE splits where a key has more
+    rows than a task should. Empty input gives an empty table.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while not _stars(e):
