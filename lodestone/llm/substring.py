@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bytes_of, cut, lists, long, powers, prefix, slices, small, span
+from .common import Words, bytes_of, cut, lists, long, powers, prefix, slices, small, span, unused
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -141,12 +141,12 @@ def removed_words(n: int, starts: np.ndarray, masks: np.ndarray, size: int) -> n
     return np.cumsum(flags[:-1]) > 0
 
 
-def _each(batch, size: int):
-    """For each text of a batch with its windows: Words, their bytes, and which words go."""
+def _each(batch, size: int, windows: str = "found"):
+    """For each text of a batch with its windows, a column of this name: Words, their bytes, and which words go."""
     words = Words(*bytes_of(batch.column("text")))
     keys = text_keys(words, prefix(words.hashes)).view(np.int64)
     raw = words.buf.tobytes()
-    for i, found in enumerate(batch.column("found").to_pylist()):
+    for i, found in enumerate(batch.column(windows).to_pylist()):
         mine = np.array([(x["start"], x["mask"]) for x in found or () if x["key"] == keys[i]], np.int64).reshape(-1, 2)
         a, b = words.ptr[i], words.ptr[i + 1]
         yield words, raw, i, removed_words(b - a, mine[:, 0], mine[:, 1], size), keys[i]
@@ -168,14 +168,14 @@ def _digest(size: int):
     return run
 
 
-def _rewrite(size: int, columns: list[str]):
+def _rewrite(size: int, columns: list[str], windows: str):
     """The rows without the removed words and the white space behind them; rows left without words go."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
                 texts, keep = [], []
-                for words, raw, i, gone, _ in _each(batch, size):
+                for words, raw, i, gone, _ in _each(batch, size, windows):
                     lo, hi, a = words.offsets[i], words.offsets[i + 1], words.ptr[i]
                     if not gone.any():
                         texts.append(batch.column("text")[i].as_py())
@@ -268,12 +268,13 @@ def deduplicate(docs: DataFrame, size: int = 13) -> DataFrame:
 def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """The rows of docs, all columns, without the words that `deduplicate` removes; rows left without words go.
 
-    White space between kept words stays as it was. Cases as for `deduplicate`.
+    White space between kept words stays as it was. Cases as for `deduplicate`; columns of any name pass through.
     """
     _check(size)
     _, later, judged = repeated_windows(docs, size)
     found = _found(judged.union(later.select("doc_id", "key", F.lit(-1).cast("long"), F.lit(-1).cast("long"))))
-    return docs.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").mapInArrow(_rewrite(size, docs.columns), docs.schema)
+    windows = unused("found", docs.columns)
+    return docs.join(found.withColumnRenamed("found", windows), "doc_id", "left").select(*docs.columns, windows).mapInArrow(_rewrite(size, docs.columns, windows), docs.schema)
 
 
 def _check(size: int) -> None:
