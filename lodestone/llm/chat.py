@@ -23,15 +23,21 @@ def rotate(turns: DataFrame, open_tag: str = "<|im_start|>", close_tag: str = "<
     segments in order of turn, role and text), mask_start and mask_stop (the trained part: text and close tag of the
     assistant's turns, else null), copies (how many equal turns stood here).
 
-    Roles in `never`, such as system, are rendered as themselves and get no perspective. Null conv_id or turn: left
+    Tags inside texts and names are escaped by a backslash behind their first character, and line breaks in names become
+    spaces, so that no speaker can write a turn for another. Roles in `never`, such as system, are rendered as themselves and get no perspective. Null conv_id or turn: left
     out, as the row belongs to no place in a dialogue. Null role: the speaker 'unknown'. Null text: empty. Turns that
     are equal in all columns count once, with their number in `copies`; different turns with one number follow each
     other by role and text. A conversation of any length is spread over tasks by thousands of turns; nothing is
     gathered. The number of rows is the number of turns times the speakers of their conversation.
+    Very long texts are read whole. An empty table gives an empty result; other columns are not read.
     """
     t = turns.where("conv_id is not null and turn is not null").select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text")
     )
+    for tag in (open_tag, close_tag):
+        for c in ("speaker", "text"):
+            t = t.withColumn(c, F.replace(F.col(c), F.lit(tag), F.lit(f"{tag[0]}\\{tag[1:]}")))
+    t = t.withColumn("speaker", F.translate("speaker", "\r\n", "  "))
     t = t.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("copies"))
     who = t.where(~F.col("speaker").isin(*never)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     both = t.join(who, "conv_id")

@@ -87,9 +87,9 @@ ORACLE_SQL = {
           from s join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all),
         l as (select doc_id page_id, max(1 - quality) bad from labels where quality is not null group by all),
         o as (select host, bad from s join l using (page_id) where host <> ''),
-        hosts as (select host, case when list_contains(['co.uk', 'com.au', 'co.jp'], array_to_string(string_split(host, '.')[-2:], '.'))
+        hosts as (select host, case when regexp_matches(array_to_string(string_split(host, '.')[-2:], '.'), '^(ac|asso|co|com|edu|go|gob|gov|gouv|gv|info|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch)[.][a-z][a-z]$')
             then array_to_string(string_split(host, '.')[-3:], '.') else array_to_string(string_split(host, '.')[-2:], '.') end dom,
-          case when list_contains(['co.uk', 'com.au', 'co.jp'], array_to_string(string_split(host, '.')[-2:], '.'))
+          case when regexp_matches(array_to_string(string_split(host, '.')[-2:], '.'), '^(ac|asso|co|com|edu|go|gob|gov|gouv|gv|info|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch)[.][a-z][a-z]$')
             then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end suf,
           count(*)::double n, sum(bad)::double bad from o group by all),
         doms as (select dom, suf, sum(n) n, sum(bad) bad from hosts group by all),
@@ -132,8 +132,9 @@ ORACLE_SQL = {
         kept as (select pos.doc_id, count(*) k, string_agg(t, ' ' order by pos.p) t from pos left join gone on pos.doc_id = gone.doc_id and pos.p = gone.p where gone.p is null group by pos.doc_id)
         select w.doc_id, len(ws) n_words, len(ws) - coalesce(k, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id)
     """,
-    "op10_chat_rotation": """
-        with t as (select conv_id, turn, coalesce(role, 'unknown') speaker, coalesce(text, '') text, count(*) copies from conversations
+    "op10_chat_rotation": r"""
+        with t as (select conv_id, turn, translate(replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>'), chr(13) || chr(10), '  ') speaker,
+          replace(replace(coalesce(text, ''), '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>') text, count(*) copies from conversations
           where conv_id is not null and turn is not null group by all),
         who as (select distinct conv_id, speaker perspective from t where speaker <> 'system'),
         b as (select *, case when speaker = 'system' then speaker when speaker = perspective then 'assistant' else 'user' end as r from t join who using (conv_id)),

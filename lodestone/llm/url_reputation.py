@@ -38,10 +38,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+#: Second-level labels under which countries register domains, as in ac.uk, com.au, go.jp: fixed values.
+SECOND_LEVEL = ["ac", "asso", "co", "com", "edu", "go", "gob", "gov", "gouv", "gv", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch"]
+
+
 def _levels(host: Column, two_level: tuple[str, ...]) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host; a host of one label is its own domain and suffix."""
+    """Registered domain and suffix of a host; a host of one label is its own domain and suffix.
+
+    A suffix has two labels where a country's code of two letters stands behind one of SECOND_LEVEL, or if it is one of
+    two_level; else it is the last label."""
     two = F.substring_index(host, ".", -2)
-    long = two.isin(*two_level)
+    long = two.rlike(f"^({'|'.join(SECOND_LEVEL)})[.][a-z][a-z]$")
+    long = long | two.isin(*two_level) if two_level else long
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
@@ -59,7 +67,7 @@ def _strength(groups: DataFrame, prior: Column) -> DataFrame:
     return g.agg(F.round(m, 6).alias("m"))
 
 
-def host_reputation(outcomes: DataFrame, bound: float = 0.5, z: float = 1.645, two_level: tuple[str, ...] = ("co.uk", "com.au", "co.jp")) -> DataFrame:
+def host_reputation(outcomes: DataFrame, bound: float = 0.5, z: float = 1.645, two_level: tuple[str, ...] = ()) -> DataFrame:
     """host, n, bad, rate (posterior mean), lower (posterior bound), blocked, for outcomes(host, bad in 0/1).
 
     The aggregates are combined before each shuffle and each level starts from the one below, so a host, domain or
@@ -94,7 +102,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, **how) -> DataFram
     threshold, allow otherwise (also for hosts without labelled pages and for urls without a host).
 
     Null url: host and path empty. Null page_id, repeated rows: each row is judged. A page with several outcomes is bad
-    if one is. Hot hosts: only hosts found bad are joined to the pages, and that join may split skewed partitions.
+    if one is. A posterior bound at the threshold does not block. Empty tables: an empty result, or no reputation. Very
+    long urls are read whole. Other columns are not read. Hot hosts: only hosts found bad are joined to the pages, and that join may split skewed partitions.
     """
     host, path = parts()
     seen = pages.select("page_id", "url").withColumns({"host": host, "path": path})
