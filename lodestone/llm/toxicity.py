@@ -1,7 +1,9 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words of letters and word beginnings of 6, 7 and 9 bytes, lower-cased. The vocabulary is learned from the
-labelled examples: terms in at least `least_df` of them whose document frequencies differ between the labels. Examples
+labelled examples: all terms in at least `least_df` of them whose document frequencies differ between the labels by
+`least_z` standard deviations. The cosine is exact over this vocabulary, without a cap on its size; over all words the
+nearest examples would be those on the same subject, whatever their label. Examples
 are held in an inverted index, blocks of 64 examples, with the largest weight of each term in each block. A query's
 bound on a block is the sum of its weights times these maxima; blocks are visited by falling bound until none can hold
 one of the k nearest, so the neighbours are exact. Their votes, weighted by similarity, are calibrated on the examples
@@ -45,7 +47,7 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Vocabulary (sorted term hashes), idf, and for each block of examples a terms x 64 table of weights."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray, share: float, terms: int = 1024, least_df: int = 4, k: int = 15):
+    def __init__(self, texts: list[str], labels: np.ndarray, share: float, least_df: int = 4, least_z: float = 3.0, k: int = 15):
         self.k, self.labels, self.share = k, labels, share
         arr = pa.array(texts, pa.string())
         t, d = terms_of(arr)
@@ -56,8 +58,7 @@ class Index:
         n, n1 = max(1, len(texts)), max(1.0, labels.sum())
         expect = df * n1 / n
         z = (pos - expect) / np.sqrt(np.maximum(expect * (1 - n1 / n), 1e-9)) if len(vocab) else df
-        good = np.flatnonzero((df >= least_df) & (np.abs(z) >= 3.0))
-        good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")][:terms])
+        good = np.flatnonzero((df >= least_df) & (np.abs(z) >= least_z))
         self.vocab, self.idf = vocab[good], np.log(n / df[good]) + 1
         self.use(self.vectors(arr), len(texts))
         self.calibrate()
@@ -159,7 +160,9 @@ def score(docs: DataFrame, model: tuple[Index, list[int]], threshold: float = 0.
     """doc_id, score, predicted, neighbours, evidence (doc_ids of the nearest examples, nearest first), similarity.
 
     Null and empty texts, and texts without a term of the vocabulary, get the share of label 1 among labelled examples
-    without one. Null doc_ids keep their rows. Equal texts get equal scores. Other columns are not read.
+    without one. Null doc_ids and repeated rows keep their rows. Equal texts get equal scores. Neighbours of equal cosine
+    are taken in the order of the index. Very long texts are read whole, one at a time. Empty table: empty result. Other
+    columns, whatever their names, are not read.
     """
     index, ids = docs.sparkSession.sparkContext.broadcast(model[0]), np.array(model[1], np.int64)
 
