@@ -10,6 +10,46 @@ from lodestone.sources.ignore import ignored_column
 PROJECT_REF = r'Project\("[^"]*"\)\s*=\s*"([^"]+)"\s*,\s*"([^"]+)"'
 
 
+def text_of(content: str):
+    """The text of a binary column: UTF-8, bytes that are none replaced, a mark at the start dropped by the readers."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any store that Spark reads, also one whose name begins with a dot; None if there is none."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Put a written folder in the place of another."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    a, b = path(source), path(target)
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(b, True)
+    fs.rename(a, b)
+
+
+def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path, content of the files below root whose names fit the pattern, in order of path; no ignore rules."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return df.select(_plain(F.col("path")).alias("path"), text_of("content").alias("content")).orderBy("path")
+
+
+def load_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, content of the files that exist."""
+    rows = [(p, text) for p in paths if (text := read_text(spark, p)) is not None]
+    return spark.createDataFrame(rows, "path string, content string")
+
+
 def _plain(path):
     return F.regexp_replace(path, "^file:/+", "/")
 
@@ -19,7 +59,7 @@ def scan_files(spark: SparkSession, root: str, spec: list, pattern: str = "*.{cs
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     path = _plain(F.col("path"))
     relative = F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")
-    df = df.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
+    df = df.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("sha256"), text_of("content").alias("content"))
     return df.where(~ignored_column(relative, spec))
 
 
@@ -63,9 +103,9 @@ def collect_projects(listed: DataFrame, existing: DataFrame) -> tuple[DataFrame,
 
 
 def project_edges(projects: DataFrame) -> DataFrame:
-    """src, dst (null for packages and unknown projects), edge_kind, target; equal rows once."""
-    ref = projects.select(F.col("path").alias("src"), F.explode("project_references").alias("target")).withColumn("edge_kind", F.lit("project_reference"))
-    pkg = projects.select(F.col("path").alias("src"), F.explode("package_references").alias("target")).withColumn("edge_kind", F.lit("package_reference"))
-    known = projects.select(F.col("path").alias("dst"))
+    """src_project_id, dst_project_id (null for packages and unknown projects), edge_kind, target; equal rows once."""
+    ref = projects.select(F.col("id").alias("src_project_id"), F.explode("project_references").alias("target")).withColumn("edge_kind", F.lit("project_reference"))
+    pkg = projects.select(F.col("id").alias("src_project_id"), F.explode("package_references").alias("target")).withColumn("edge_kind", F.lit("package_reference"))
+    known = projects.select(F.col("path").alias("dst"), F.col("id").alias("dst_project_id"))
     both = ref.unionByName(pkg)
-    return both.join(known, (F.col("target") == F.col("dst")) & (F.col("edge_kind") == "project_reference"), "left").select("src", "dst", "edge_kind", "target").distinct()
+    return both.join(known, (F.col("target") == F.col("dst")) & (F.col("edge_kind") == "project_reference"), "left").select("src_project_id", "dst_project_id", "edge_kind", "target").distinct()
