@@ -42,6 +42,7 @@ class Tokens:
                         self.match[stack.pop()] = i
         for i in stack:
             self.match[i] = len(self.text)
+        self.opening = {close: i for i, close in self.match.items()}
         self.lines = [0] + [m.end() for m in re.finditer("\n", text)]
 
     def place(self, offset: int) -> tuple[int, int]:
@@ -240,7 +241,7 @@ class Extract:
         if tx[stop] in ("{", "=>"):
             if t.kind[stop - 1] == "word" and tx[stop - 1] != "this" and stop - 1 > i and "this" not in tx[i:stop]:
                 if "event" not in tx[start:i]:
-                    self.symbol("property", tx[stop - 1], scope, start, end)
+                    owner = self.symbol("property", tx[stop - 1], scope, start, end)
             self.strings(stop, end + 1, owner)
             return end + 1
         if "event" in tx[start:i] or "this" in tx[i:stop]:
@@ -312,6 +313,33 @@ class Extract:
         for i in range(a, min(b, len(self.t.text))):
             self.literal(i, owner)
 
+    def operand(self, p: int, a: int) -> int | None:
+        """The first token of what stands before a member access and ends with token p: a name with its arguments and
+        indexes, a group in brackets or a literal. None where no operand ends there."""
+        t, tx = self.t, self.t.text
+        while p > a:
+            if tx[p] == "!":
+                p -= 1
+            elif tx[p] in (")", "]", "}") and t.kind[p] == "op":
+                o = t.opening.get(p, -1)
+                if o <= a:
+                    return None
+                before = tx[o - 1]
+                if t.kind[o - 1] == "word" and before not in NO_CALL - {"this", "base"} or before in (")", "]", "!") or before == ">" and tx[p] != "}":
+                    p = o - 1
+                else:
+                    return o if tx[p] == ")" else None
+            elif tx[p] == ">":
+                o = next((x for x in range(p - 1, a, -1) if tx[x] == "<" and self.skip_angle(x) == p + 1), a)
+                if o == a or t.kind[o - 1] != "word":
+                    return None
+                p = o - 1
+            elif t.kind[p] == "word":
+                return p if tx[p] not in NO_CALL - {"this", "base"} else None
+            else:
+                return p if t.kind[p] not in ("op",) else None
+        return None
+
     def body(self, a: int, b: int, owner: str) -> None:
         """Invocations of a body, last first: an identifier or member chain before a ( that is no keyword and no new."""
         t, tx = self.t, self.t.text
@@ -334,16 +362,12 @@ class Extract:
             if t.kind[j] != "word" or tx[j] in NO_CALL:
                 continue
             k = j
-            while k - 1 > a and tx[k - 1] in (".", "::", "?."):
-                p = k - 2
-                if t.kind[p] == "word" and tx[p] not in NO_CALL - {"this", "base"}:
-                    k = p
-                elif tx[p] in (")", "]", ">", "!"):
-                    break
-                else:
-                    break
+            while k - 1 > a and tx[k - 1] in (".", "::") and (p := self.operand(k - 2, a)) is not None:
+                k = p
             prev = tx[k - 1] if k - 1 >= a else ""
-            if prev == "new" or t.kind[k - 1] == "word" and prev not in NO_CALL and prev not in ("yield", "await", "case", "from", "select", "where"):
+            if prev == "new" and any(x in ("(", "{") for x in tx[k:j]):
+                k -= 1  # a call on an object just made
+            elif prev == "new" or t.kind[k - 1] == "word" and prev not in NO_CALL and prev not in ("yield", "await", "case", "from", "select", "where"):
                 continue
             callee = t.join(k, i).replace(" ", "").replace("\n", "")
             if prev == "?.":
