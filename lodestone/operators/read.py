@@ -47,6 +47,19 @@ def implementations_of(edges, files, symbols, symbol_id, limit=200) -> DataFrame
     return out.orderBy("edge_id", "src_symbol_id").limit(limit).select(F.col("src_symbol_id").alias("id"), "kind", "name", "qualified_name", "path", "span_start_line")
 
 
+def lookup_file(files, path) -> DataFrame:
+    """The row of one path, if there is one."""
+    return files.where(F.col("path") == path).limit(1)
+
+
+def lookup_symbol(symbols, files, name) -> DataFrame:
+    """One symbol with this qualified or simple name: a qualified name goes first, then the order of qualified names."""
+    f = files.select(F.col("id").alias("file_id"), "path")
+    hits = symbols.where((F.col("qualified_name") == name) | (F.col("name") == name)).join(f, "file_id")
+    exact = F.when(F.col("qualified_name") == name, 0).otherwise(1)
+    return hits.orderBy(exact, "qualified_name", "id").limit(1).select("id", "kind", "name", "qualified_name", "path")
+
+
 def features_by_name(feats, name=None, limit=500) -> DataFrame:
     f = feats.where(like_ascii_ci(F.col("name"), f"%{name}%")) if name else feats
     return f.orderBy(F.coalesce("domain", F.lit("")), "name", "viewmodel").limit(limit)
@@ -93,12 +106,12 @@ def grep_regex(files, pattern, limit=100, python=False) -> DataFrame:
 
         import pandas as pd
 
-        @F.pandas_udf("boolean")
-        def found(s: pd.Series) -> pd.Series:
+        def found(s):
             r = re.compile(pattern)
             return s.map(lambda x: x is not None and r.search(x) is not None)
 
-        hit = files.where(found("content"))
+        found.__annotations__ = {"s": pd.Series, "return": pd.Series}
+        hit = files.where(F.pandas_udf(found, "boolean")("content"))
     else:
         hit = files.where(F.col("content").rlike(pattern))
     return hit.select("path", F.substring(F.substring_index("content", "\n", 1), 1, 200).alias("snippet")).orderBy("path").limit(limit)

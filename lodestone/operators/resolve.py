@@ -75,12 +75,15 @@ def resolve_general(refs: DataFrame, symbols: DataFrame, **how) -> DataFrame:
 
 def resolve_inheritance(refs: DataFrame, symbols: DataFrame, scope: DataFrame | None = None, ordered: bool = True) -> DataFrame:
     """Base lists: the ladder on the short name, then the only interface of that name, anywhere or else in scope."""
-    r = refs.withColumn("name", base_short(F.col("dst_guess")))
-    out = resolve(r, symbols, scope, ordered)
+    return _inherited(resolve(refs.withColumn("name", base_short(F.col("dst_guess"))), symbols, scope, ordered), ordered).drop(*_WORK)
+
+
+def _inherited(out: DataFrame, ordered: bool) -> DataFrame:
+    """The results of the ladder, or the only interface of the name."""
     one = F.when(_visible("i1", ordered) & ~_visible("i2", ordered), F.col("i1")).when(_visible("is1", ordered) & ~_visible("s2", ordered), F.col("is1"))
     found = F.coalesce(F.col("_hit"), one)
     conf = F.when(F.col("_hit.id").isNotNull(), F.col("confidence")).when(found["id"].isNotNull(), "heuristic").otherwise("unresolved")
-    out = out.withColumns({"dst_symbol_id": found["id"], "dst_kind": found["kind"], "confidence": conf}).drop(*_WORK)
+    out = out.withColumns({"dst_symbol_id": found["id"], "dst_kind": found["kind"], "confidence": conf})
     return out.withColumn("edge_type", final_edge_type())
 
 
@@ -99,9 +102,13 @@ def repair_inheritance(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def resolve_string_refs(refs: DataFrame, symbols: DataFrame, ordered: bool = True) -> DataFrame:
     """Literals that name exactly one visible type; the others are dropped."""
-    out = resolve(refs.withColumn("name", F.col("dst_guess")), symbols, None, ordered)
+    return _literal(resolve(refs.withColumn("name", F.col("dst_guess")), symbols, None, ordered), ordered).drop(*_WORK)
+
+
+def _literal(out: DataFrame, ordered: bool) -> DataFrame:
+    """The results of the ladder replaced by the only visible type of the name."""
     out = out.where(_visible("t1", ordered) & ~_visible("t2", ordered))
-    return out.withColumns({"dst_symbol_id": F.col("t1.id"), "dst_kind": F.col("t1.kind"), "confidence": F.lit("heuristic")}).drop(*_WORK)
+    return out.withColumns({"dst_symbol_id": F.col("t1.id"), "dst_kind": F.col("t1.kind"), "confidence": F.lit("heuristic")})
 
 
 def source_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -112,13 +119,45 @@ def source_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolve_all(refs: DataFrame, symbols: DataFrame, scope: DataFrame | None = None, ordered: bool = True) -> DataFrame:
-    """Every edge type by its own rule; imports are never resolved."""
+    """Every edge type by its own rule, over one pass of the ladder; imports are never resolved."""
     kind = F.col("edge_type")
-    base = refs.where(kind.isin("inherits", "implements"))
+    base, literal = kind.isin("inherits", "implements"), kind == "string_ref"
     none = refs.where(kind == "imports").withColumns({"dst_symbol_id": F.lit(None).cast("long"), "dst_kind": F.lit(None).cast("string"), "confidence": F.lit("unresolved")})
-    plain = refs.where(~kind.isin("inherits", "implements", "imports", "string_ref"))
-    parts = [resolve_general(plain, symbols, scope=scope, ordered=ordered), resolve_inheritance(base, symbols, scope, ordered), resolve_string_refs(refs.where(kind == "string_ref"), symbols, ordered), none]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    name = F.when(base, base_short(F.col("dst_guess"))).when(literal, F.col("dst_guess")).otherwise(F.col("name"))
+    out = resolve(refs.where(kind != "imports").withColumn("name", name), symbols, scope, ordered)
+    # one plan to here: the three rules differ in projections and filters, and their common joins are exchanged once
+    parts = [_inherited(out.where(base), ordered), _literal(out.where(literal), ordered), out.where(~base & ~literal)]
+    rows = none
+    for p in parts:
+        rows = rows.unionByName(p.drop(*_WORK))
+    return rows
+
+
+def resolve_towards(refs: DataFrame, symbols: DataFrame, symbol_id: int, scope: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    """The edges of resolve_all that end at one symbol, from the references and symbols that bear its name only: both
+    filters reach the scans, and the dictionaries hold one name."""
+    target = symbols.where(F.col("id") == symbol_id).select("name", "qualified_name").first()
+    if target is None:
+        return resolve_all(refs.limit(0), symbols.limit(0), scope, ordered)
+    kind = F.col("edge_type")
+    name = F.when(kind.isin("inherits", "implements"), base_short(F.col("dst_guess"))).when(kind == "string_ref", F.col("dst_guess")).otherwise(F.coalesce("name", last_segment(F.col("dst_guess"))))
+    refs = refs.where((name == target.name) | (F.col("dst_guess") == target.qualified_name))
+    guesses = refs.select(F.col("dst_guess").alias("qualified_name")).distinct()
+    same = symbols.where(F.col("name") == target.name)
+    other = symbols.where(F.col("name") != target.name).join(guesses, "qualified_name", "left_semi").select(*symbols.columns)
+    return resolve_all(refs, same.unionByName(other), scope, ordered).where(F.col("dst_symbol_id") == symbol_id)
+
+
+def merge_inheritance_meta(edges: DataFrame) -> DataFrame:
+    """edges whose meta_json says, for inheritance, the base's short name and what became of it.
+
+    base_short, base_resolved and, of a resolved base, dst_kind; of others base_kind_hint. A hint that an earlier pass
+    left stays."""
+    meta = F.from_json(F.coalesce("meta_json", F.lit("{}")), "map<string,string>")
+    base = F.col("edge_type").isin("inherits", "implements")
+    known = F.col("dst_symbol_id").isNotNull()
+    short = F.to_json(F.struct(base_short(F.col("dst_guess")).alias("base_short"), known.alias("base_resolved"), F.when(known, F.col("dst_kind")).alias("dst_kind"),
+        F.when(~known, F.when(looks_like_interface(base_short(F.col("dst_guess"))), "interface").otherwise("unknown")).alias("base_kind_hint")))
+    old = F.regexp_replace(F.coalesce("meta_json", F.lit("{}")), r"\}\s*$", "")
+    merged = F.concat(old, F.when(F.size(meta) > 0, ",").otherwise(""), F.substring(short, 2, 1 << 30))
+    return edges.withColumn("meta_json", F.when(base, merged).otherwise(F.col("meta_json")))

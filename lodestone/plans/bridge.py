@@ -45,6 +45,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.raw = spark, lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        self.counts: dict[str, int] = {}
+
+    def count(self, name: str) -> int:
+        """Rows of a table, counted once."""
+        if name not in self.counts:
+            self.counts[name] = self.raw(name).count()
+        return self.counts[name]
 
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         import re
@@ -75,12 +82,12 @@ class Tables:
 
     @property
     def symbols(self) -> DataFrame:
-        s = self.sql(SYMBOLS.format(files=self.raw("supplier").count()))
+        s = self.sql(SYMBOLS.format(files=self.count("supplier")))
         return with_ids(s.withColumn("qualified_name", F.concat("prefix", "name")), "file_id", ["partkey"])
 
     @property
     def refs(self) -> DataFrame:
-        r = self.sql(REFS.format(parts=self.raw("part").count()), symbols=self.symbols)
+        r = self.sql(REFS.format(parts=self.count("part")), symbols=self.symbols)
         return r.withColumn("name", F.when(F.col("edge_type") == "calls", F.substring_index("dst_guess", ".", -1)).otherwise(F.lit(None)))
 
     @property

@@ -48,8 +48,10 @@ def query(oracle: str | None = None, ctes: str = CTES):
     return register
 
 
-def _edges(t: Tables) -> DataFrame:
-    return resolve.resolve_all(t.refs, t.symbols, t.scope)
+def _edges(t: Tables, *types: str) -> DataFrame:
+    """All edges, or those that can become one of the types: inheritance may turn out either way."""
+    refs = t.refs.where(F.col("edge_type").isin(*types)) if types else t.refs
+    return resolve.resolve_all(refs, t.symbols, t.scope)
 
 
 _PICK = "id, src_symbol_id, src_file_id, edge_type, dst_guess, dst_symbol_id, confidence"
@@ -141,38 +143,43 @@ def edge_source_endpoint(t):
 _TARGET = "(select min(id) from symbols where name = (select min(name) from symbols where kind = 'interface'))"
 
 
-def _target(t: Tables) -> int:
-    name = t.symbols.where("kind = 'interface'").agg(F.min("name")).first()[0]
-    return t.symbols.where(F.col("name") == name).agg(F.min("id")).first()[0]
+def _at(t: Tables, query, *types: str) -> DataFrame:
+    """query(edges, symbols, id) for the first symbol of the first interface name; only edges that end there are resolved."""
+    symbols, refs = t.symbols, t.refs
+    first = symbols.groupBy("name").agg(F.min("id").alias("id"), F.max(F.col("kind") == "interface").alias("i"))
+    symbol_id = first.where("i").agg(F.min_by("id", "name")).first()[0]
+    refs = refs.where(F.col("edge_type").isin(*types)) if types else refs
+    return query(resolve.resolve_towards(refs, symbols, symbol_id, t.scope), symbols, symbol_id)
 
 
 @query(f"select e.id, edge_type, confidence, src_file_id, path, ref_start_line, dst_symbol_id from edges e join files f on f.id = src_file_id where dst_symbol_id = {_TARGET} order by path, ref_start_line, e.id limit 200", EDGES)
 def find_references(t):
-    return read.find_references(_edges(t), t.files, symbol_id=_target(t))
+    return _at(t, lambda e, s, i: read.find_references(e, t.files, symbol_id=i))
 
 
-_UNIQUE = "(select min(name) from (select name from symbols s where kind = 'type' group by name having count(*) = 1 and (select count(*) from symbols x where x.name = s.name) = 1))"
+_UNIQUE = "(select min(qualified_name) from (select qualified_name from symbols where prefix <> '' group by qualified_name having count(*) = 1) where qualified_name in (select dst_guess from refs where edge_type = 'calls'))"
 
 
-@query(f"select e.id, edge_type, confidence, src_file_id, path, ref_start_line, dst_symbol_id from edges e join files f on f.id = src_file_id where dst_symbol_id in (select id from symbols where name = {_UNIQUE}) order by path, ref_start_line, e.id limit 200", EDGES)
+@query(f"select e.id, edge_type, confidence, src_file_id, path, ref_start_line, dst_symbol_id from edges e join files f on f.id = src_file_id where dst_symbol_id in (select id from symbols where qualified_name = {_UNIQUE}) order by path, ref_start_line, e.id limit 200", EDGES)
 def find_references_qualified(t):
-    name = t.symbols.groupBy("name").agg(F.count("*").alias("n"), F.max("kind").alias("k")).where("n = 1 and k = 'type'").agg(F.min("name")).first()[0]
+    called = t.refs.where("edge_type = 'calls'").select(F.col("dst_guess").alias("qualified_name"))
+    name = t.symbols.where("prefix <> ''").groupBy("qualified_name").agg(F.count("*").alias("n")).where("n = 1").join(called, "qualified_name", "left_semi").agg(F.min("qualified_name")).first()[0]
     return read.find_references(_edges(t), t.files, t.symbols, qualified=name)
 
 
 @query(f"select e.id, confidence, path, ref_start_line, src_symbol_id, s.qualified_name src_q from edges e join files f on f.id = src_file_id left join symbols s on s.id = src_symbol_id where edge_type = 'calls' and dst_symbol_id = {_TARGET} order by path, ref_start_line, e.id limit 200", EDGES)
 def callers_of(t):
-    return read.callers_of(_edges(t), t.files, t.symbols, _target(t))
+    return _at(t, lambda e, s, i: read.callers_of(e, t.files, s, i), "calls")
 
 
 @query(f"select s.id, s.kind, s.name, s.qualified_name, path, s.span_start_line from edges e join symbols s on s.id = src_symbol_id join symbols d on d.id = dst_symbol_id join files f on f.id = s.file_id where d.kind = 'interface' and d.id = {_TARGET} and edge_type in ('implements', 'inherits') order by e.id, src_symbol_id limit 200", EDGES)
 def implementations_of(t):
-    return read.implementations_of(_edges(t), t.files, t.symbols, _target(t))
+    return _at(t, lambda e, s, i: read.implementations_of(e, t.files, s, i), "inherits", "implements")
 
 
 @query(f"select path, ref_start_line, confidence, edge_type from edges e join files f on f.id = src_file_id where edge_type = 'calls' and dst_symbol_id = {_TARGET}", EDGES)
 def incoming_calls(t):
-    return read.incoming_calls(_edges(t), t.files, _target(t))
+    return _at(t, lambda e, s, i: read.incoming_calls(e, t.files, i), "calls")
 
 
 _VM = """, vm as (select id, file_id, qualified_name, case when ends_with(name, 'ViewModel') then left(name, -9) else name end stem,
@@ -209,18 +216,23 @@ _PRIMARY = EDGES + _VM + """, ranked as (select e.src_symbol_id, e.dst_symbol_id
 
 @query("select src_symbol_id, dst_symbol_id, dst_qualified, parameter_index, 'mvvm_primary_service' edge_type from prim", _PRIMARY)
 def mvvm_primary_service(t):
-    return derive.primary_services(_edges(t), t.symbols)
+    return derive.primary_services(_edges(t, "injects"), t.symbols)
 
 
 @query("select f.name, f.domain, f.viewmodel, coalesce((select arg_max(p.dst_qualified, p.src_symbol_id) from prim p join symbols s on s.id = p.src_symbol_id where s.qualified_name = f.viewmodel), f.service) service, f.project from feats f", _PRIMARY)
 def feature_service_override(t):
     s = t.symbols
-    return derive.override_services(derive.features(s, t.project_files, t.projects), derive.primary_services(_edges(t), s), s)
+    return derive.override_services(derive.features(s, t.project_files, t.projects), derive.primary_services(_edges(t, "injects"), s), s)
 
 
-@query("select f.id file_id, p.id project_id from files f join projects p on starts_with(f.path, regexp_replace(p.path, '/[^/]*$', '/'))")
+_NESTED = CTES + """, nested as (select id, path from projects where id % 2 = 0 union all select 1000 + r_regionkey, concat('/repo/', r_name, '/', r_name, '.csproj') from region)"""
+
+
+@query("select f.id file_id, arg_max(p.id, length(p.path)) project_id from files f join nested p on starts_with(f.path, regexp_replace(p.path, '/[^/]*$', '/')) group by f.id", _NESTED)
 def file_to_project(t):
-    return derive.files_to_projects(t.files, t.projects)
+    """Projects of regions hold those of half of the nations: the deepest folder decides."""
+    above = t.raw("region").select((F.lit(1000) + F.col("r_regionkey")).cast("long").alias("id"), F.concat(F.lit("/repo/"), "r_name", F.lit("/"), "r_name", F.lit(".csproj")).alias("path"))
+    return derive.files_to_projects(t.files, t.projects.where("id % 2 = 0").select("id", "path").union(above))
 
 
 @query("select p.name src, d.name dst, edge_kind, target from project_edges e join projects p on p.id = src_project_id left join projects d on d.id = dst_project_id")
@@ -244,14 +256,33 @@ def folder_chain(t):
     return derive.folders(t.files)
 
 
-@query("select path, left(content, 200) snippet from files where " + FOLD.format("content") + " like '%the th%' order by path limit 100")
+#: Every document as a file.
+TEXTS = "texts as (select doc_id as id, '/docs/' || lpad(cast(doc_id as varchar), 12, '0') as path, text as content from documents)"
+
+
+def _texts(t: Tables) -> DataFrame:
+    return t.raw("documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/docs/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), F.col("text").alias("content"))
+
+
+@query("select path, left(content, 200) snippet from texts where " + FOLD.format("content") + " like '%the th%' order by path limit 100", TEXTS)
 def grep_substring(t):
-    return read.grep_substring(t.files, "The th")
+    return read.grep_substring(_texts(t), "The th")
 
 
-@query(r"select path, left(string_split(content, chr(10))[1], 200) snippet from files where regexp_matches(content, '[A-Z][a-z]+ing and') order by path limit 100")
+@query(r"select path, left(string_split(content, chr(10))[1], 200) snippet from texts where regexp_matches(content, '[A-Z][a-z]+ing and') order by path limit 100", TEXTS)
 def grep_regex(t):
-    return read.grep_regex(t.files, "[A-Z][a-z]+ing and")
+    return read.grep_regex(_texts(t), "[A-Z][a-z]+ing and")
+
+
+@query(r"select path, left(string_split(content, chr(10))[1], 200) snippet from texts where regexp_matches(content, '(?i)\\bTHE\\b.*\\d{3}') order by path limit 100", TEXTS)
+def grep_text_regex(t):
+    """Python's dialect of regular expressions."""
+    return read.grep_text(_texts(t), r"(?i)\bTHE\b.*\d{3}", regex=True)
+
+
+@query("select path, left(content, 200) snippet from texts where " + FOLD.format("content") + " like '%ting the%' order by path limit 100", TEXTS)
+def grep_text(t):
+    return read.grep_text(_texts(t), "ting THE")
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -273,9 +304,9 @@ def fts_content_and(t):
 
 
 @query(r"""select path, case when a > 1 then '…' else '' end || array_to_string(list_transform(w[a : a + 47], lambda x: case when x = 'the' then '[the]' else x end), ' ') || case when len(w) >= a + 48 then '…' else '' end snippet
-  from (select path, w, list_position(w, 'the') a from (select path, """ + _TOKENS.format("content") + """ w from files) where list_contains(w, 'the')) order by path limit 100""")
+  from (select path, w, list_position(w, 'the') a from (select path, """ + _TOKENS.format("content") + """ w from texts) where list_contains(w, 'the')) order by path limit 100""", TEXTS)
 def fts_snippet(t):
-    return read.fts_content(t.files, "the")
+    return read.fts_content(_texts(t), "the")
 
 
 @query("select id, path from files where not (id % 3 = 0)")
