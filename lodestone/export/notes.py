@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.schemas import TYPE_LIKE
 
-SECTIONS = {"inherits": "Inherits", "implements": "Implements", "injects": "Dependencies (Injects)", "methods": "Methods", "calls": "Calls"}
+SECTIONS = {"inherits": "Inherits", "implements": "Implements", "injects": "Dependencies (Injects)", "methods": "Methods", "properties": "Properties", "calls": "Calls"}
 
 
 def prefixes(q):
@@ -24,13 +24,14 @@ def structure(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     types = symbols.where(F.col("kind").isin(*TYPE_LIKE)).select(F.col("qualified_name").alias("owner")).distinct()
     inside = symbols.select(F.col("id").alias("member"), "kind", "qualified_name", F.explode(prefixes(F.col("qualified_name"))).alias("owner")).join(types, "owner", "left_semi")
     methods = inside.where("kind in ('method', 'constructor')").select("owner", F.lit("methods").alias("section"), F.col("qualified_name").alias("link"))
+    held = inside.where("kind in ('property', 'field')").select("owner", F.lit("properties").alias("section"), F.col("qualified_name").alias("link"))
     dst = symbols.select(F.col("id").alias("dst_symbol_id"), F.col("qualified_name").alias("link"))
     e = edges.where("dst_symbol_id is not null").select("src_symbol_id", "dst_symbol_id", "edge_type").join(dst, "dst_symbol_id")
     calls = e.where("edge_type = 'calls'").join(inside.select(F.col("member").alias("src_symbol_id"), "owner"), "src_symbol_id")
     calls = calls.select("owner", F.lit("calls").alias("section"), "link")
     own = symbols.where(F.col("kind").isin(*TYPE_LIKE)).select(F.col("id").alias("src_symbol_id"), F.col("qualified_name").alias("owner"))
     direct = e.where("edge_type in ('inherits', 'implements', 'injects')").join(own, "src_symbol_id").select("owner", F.col("edge_type").alias("section"), "link")
-    return methods.union(calls).union(direct).distinct()
+    return methods.union(held).union(calls).union(direct).distinct()
 
 
 def notes(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import json
 import os
 import time
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,16 +57,43 @@ def _extract(scan: DataFrame, stored: DataFrame | None, force: bool, literals: b
     return new if stored is None else incremental.replace_files(stored, new, "path")
 
 
-def build(spark: SparkSession, root: str, out: str, *, csproj: DataFrame | None = None, extra_ignore: tuple[str, ...] = (), gitignore: str = "", literals: bool = False, mvvm: bool = False, store_content: bool = False, force: bool = False, prune_missing: bool = False) -> dict[str, int]:
+def find_projects(spark: SparkSession, root: str, sln: list[str] = (), csproj: list[str] = (), all_solutions: bool = False) -> tuple[DataFrame, list[str]]:
+    """path, name, project_references, package_references, domain of the chosen projects, and messages about missing files.
+
+    all_solutions takes every solution below root, sln the named ones in that order, csproj the named projects; of a
+    project that several solutions list the first place counts."""
+    errors = [f"missing file: {p}" for p in [*sln, *csproj] if tree.read_text(spark, p) is None]
+    if all_solutions or sln:
+        texts = tree.discover(spark, root, "*.sln") if all_solutions else tree.load_texts(spark, list(sln))
+        listed = tree.parse_sln(texts)
+        there = [r.path for r in listed.select("path").distinct().collect()]  # as many as the solutions list
+        found = tree.load_texts(spark, there)
+        chosen, missing = tree.collect_projects(listed, found)
+        errors += sorted(r.error for r in missing.collect())
+        return tree.parse_csproj(found.join(chosen.select("path"), "path", "left_semi")), errors
+    return tree.parse_csproj(tree.load_texts(spark, list(csproj))), errors
+
+
+#: Functions of (symbols, files) that give further view edges (src_symbol_id, dst_symbol_id, edge_type); none by default.
+UI_ADAPTERS: list = []
+
+
+def build(spark: SparkSession, root: str, out: str, *, sln: list[str] = (), csproj: list[str] = (), all_solutions: bool = False, extra_ignore: tuple[str, ...] = (), gitignore: str | None = None, literals: bool = False, mvvm: bool = False, store_content: bool = False, force: bool = False, prune_missing: bool = False) -> dict[str, int]:
     """Index the C# files below root to Parquet tables below out; returns the number of rows of each table.
 
+    gitignore: rules to use instead of those of the file .gitignore in root. Solutions and projects as in `find_projects`:
+    files of their folders are the scope in which names are looked for first. A solution or project that is missing, a
+    file that cannot be parsed and derived tables that fail are named in the metadata's `errors`; derived tables are
+    written aside and take their place when all of them stand.
+
     Where out holds a finished index, only new and changed files are extracted, or all with `force` or when `literals` is
     not as it was. Files that the scan no longer finds stay in the index unless `prune_missing`.
     """
     began = time.time()
     meta = _stored_meta(spark, out)
     last, now = meta.get("generation"), 1 - meta.get("generation", 1)
-    scan = tree.scan_files(spark, root, ignore.build_spec(gitignore, extra_ignore))
+    rules = tree.read_text(spark, f"{root.rstrip('/')}/.gitignore") or "" if gitignore is None else gitignore
+    scan = tree.scan_files(spark, root, ignore.build_spec(rules, extra_ignore))
     stored = None if last is None else spark.read.parquet(f"{out}/_parsed{last}")
     if last is not None:
         before = spark.read.parquet(f"{out}/_scan{last}").select(*scan.columns)
@@ -79,11 +106,8 @@ def build(spark: SparkSession, root: str, out: str, *, csproj: DataFrame | None
     syms = parsed.select("path", F.posexplode("symbols").alias("seq", "s")).select("path", "seq", "s.*").join(files.select("path", F.col("id").alias("file_id")), "path").drop("path")
     _write(derive.with_ids(syms, "file_id", ["seq"]), out, "symbols")
     symbols = spark.read.parquet(f"{out}/symbols")
-    if csproj is not None:
-        projects = tree.parse_csproj(csproj)
-        projects = derive.with_ids(projects.withColumn("one", F.lit(1)), "one", ["path"]).drop("one")
-    else:
-        projects = spark.createDataFrame([], "path string, name string, project_references array<string>, package_references array<string>, domain string, id long")
+    projects, errors = find_projects(spark, root, sln, csproj, all_solutions)
+    projects = derive.with_ids(projects.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")), "folder", ["path"]).drop("folder")
     _write(projects, out, "projects")
     projects = spark.read.parquet(f"{out}/projects")
     _write(tree.project_edges(projects), out, "project_edges")
@@ -94,20 +118,31 @@ def build(spark: SparkSession, root: str, out: str, *, csproj: DataFrame | None
     edges = resolve.resolve_all(refs, symbols, scope)
     base = F.col("edge_type").isin("inherits", "implements")
     edges = edges.where(~base).unionByName(resolve.repair_inheritance(edges.where(base), symbols))
+    edges = resolve.merge_inheritance_meta(edges)
     edges = edges.withColumn("confidence", F.when(F.col("edge_type") == "imports", F.col("parsed_confidence")).otherwise(F.col("confidence"))).drop("parsed_confidence", "src_qualified", "dst_guess")
     order = ["ref_start_line", "ref_start_col", "edge_type", "meta_json"]
     _write(derive.with_ids(edges, "src_file_id", order), out, "edges")
     edges = spark.read.parquet(f"{out}/edges")
-    feats = derive.features(symbols, links, projects)
-    if mvvm:
-        primary = derive.primary_services(edges, symbols)
-        feats = derive.override_services(feats, primary, symbols)
-        _write(derive.view_edges(symbols).unionByName(primary.select("src_symbol_id", "dst_symbol_id", "edge_type"), allowMissingColumns=True), out, "mvvm_edges")
-    _write(feats, out, "features")
+    try:
+        feats, derived = derive.features(symbols, links, projects), ["features"]
+        if mvvm:
+            primary = derive.primary_services(edges, symbols)
+            feats = derive.override_services(feats, primary, symbols)
+            views = derive.view_edges(symbols).unionByName(primary.select("src_symbol_id", "dst_symbol_id", "edge_type"), allowMissingColumns=True)
+            for adapter in UI_ADAPTERS:
+                views = views.unionByName(adapter(symbols, files), allowMissingColumns=True)
+            _write(views, out, "_staged/mvvm_edges")
+            derived.append("mvvm_edges")
+        _write(feats, out, "_staged/features")
+        for name in derived:
+            tree.move(spark, f"{out}/_staged/{name}", f"{out}/{name}")
+    except (AnalysisException, PySparkException) as e:
+        errors.append(f"features: {e}")
     _write(derive.folders(files), out, "folders")
     _write(files if store_content else files.drop("content"), out, "files")
+    errors += [f"{r.path}: {r.error}" for r in parsed.where("error is not null").select("path", "error").orderBy("path").limit(1000).collect()]
     counts = {t: spark.read.parquet(f"{out}/{t}").count() for t in ("files", "symbols", "edges", "projects", "features")}
-    meta = {"last_index_ms": int((time.time() - began) * 1000), "tables": list(schemas.TABLES), "generation": now, "literals": literals}
+    meta = {"last_index_ms": int((time.time() - began) * 1000), "tables": list(schemas.TABLES), "generation": now, "literals": literals, "errors": errors, "created_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
     spark.createDataFrame([(k, json.dumps(v)) for k, v in meta.items()], schemas.META).write.mode("overwrite").parquet(f"{out}/meta")
     return counts
 
@@ -116,6 +151,22 @@ def _write(df: DataFrame, out: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
+def is_stale(spark: SparkSession, out: str, root: str) -> bool | None:
+    """Whether the index is older than the last commit of the repository at root; None where there is no answer."""
+    import subprocess
+
+    try:
+        got = subprocess.run(["git", "-C", root, "log", "-1", "--format=%ct"], capture_output=True, text=True, timeout=60, check=False)
+    except OSError:
+        return None
+    created = _stored_meta(spark, out).get("created_utc")
+    if got.returncode or not got.stdout.strip().isdigit() or not created:
+        return None
+    import calendar
+
+    return calendar.timegm(time.strptime(created, "%Y-%m-%dT%H:%M:%SZ")) < int(got.stdout)
+
+
 def load(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """The tables of an index, also as temporary views."""
     if "://" not in out and not os.path.exists(out):

@@ -1,3 +1,5 @@
+import io
+import json
 import re
 import sqlite3
 
@@ -6,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone import index
+from lodestone import cli, index, server
 from lodestone.export import notes
 from lodestone.extract import csharp
 from lodestone.extract.csharp import extract
@@ -14,27 +16,45 @@ from lodestone.functions import text as T
 from lodestone.operators import read, sqlapi
 from lodestone.sources import ignore, tree
 
-SAMPLE = """using System;
-namespace Demo.App;
-public interface IWorker { void Run(); }
-public class BaseService { public void Run() { } }
-public class OnlyImpl : IWorker { public void Run() { } }
-public class Worker : BaseService, IWorker {
-  private int _items;
-  public Worker(IWorker inner, string name) { }
-  public void DoWork() { Console.WriteLine("x"); Run(); }
+SAMPLE = """using Acme.Core;
+namespace Acme.Billing
+{
+    public interface ILedger { decimal Total { get; } }
+    public abstract class Account<T> : ILedger
+    {
+        private readonly List<T> lines = new(), spare;
+        public string Label { get { return "LedgerLabel"; } }
+        protected Account(ITaxRules rules, [In] int count = 3) => Check(rules);
+        public virtual decimal Sum(int year)
+        {
+            return rules?.Rate(year) ?? Find<T>(year).Where(x => x.Open()).First();
+        }
+    }
+    public sealed class Invoice : Account<Line>, IPrintable
+    {
+        void Print() { new Printer(this).Run(); base.Sum(1); Log.Write("done"); }
+    }
 }
 """
 
 
 def test_extract():
-    symbols, edges, error = extract(SAMPLE)
+    symbols, edges, error = extract(SAMPLE, literals=True)
     assert error is None
-    names = [s["qualified_name"] for s in symbols]
-    assert "Demo.App.Worker.DoWork" in names and "Demo.App.Worker._items" in names and len(names) == 10
-    assert [(e["edge_type"], e["dst_qualified_guess"]) for e in edges if e["edge_type"] != "imports"] == [
-        ("inherits", "IWorker"), ("inherits", "BaseService"), ("implements", "IWorker"), ("injects", "IWorker"), ("injects", "string"), ("calls", "Run"), ("calls", "Console.WriteLine"),
+    base = "Acme.Billing"
+    assert [(s["kind"], s["qualified_name"].removeprefix(base).lstrip(".")) for s in symbols if s["kind"] != "namespace"] == [
+        ("interface", "ILedger"), ("property", "ILedger.Total"), ("type", "Account"), ("field", "Account.lines"), ("field", "Account.spare"), ("property", "Account.Label"),
+        ("constructor", "Account.Account"), ("method", "Account.Sum"), ("type", "Invoice"), ("method", "Invoice.Print"),
     ]
+    assert {(e["edge_type"], e["dst_qualified_guess"]) for e in edges if e["edge_type"] not in ("calls", "string_ref", "imports")} == {
+        ("inherits", "ILedger"), ("inherits", "Account<Line>"), ("implements", "IPrintable"), ("injects", "ITaxRules"), ("injects", "int"),
+    }
+    assert [e["src_symbol_name"] for e in edges if e["edge_type"] == "string_ref"] == [f"{base}.Account.Label"]
+    calls = {e["dst_qualified_guess"]: json.loads(e["meta_json"])["callee_simple"] for e in edges if e["edge_type"] == "calls"}
+    assert calls == {
+        "Check": "Check", ".Rate": "Rate", "Find<T>": "Find<T>", "Find<T>(year).Where": "Where", "x.Open": "Open", "Find<T>(year).Where(x=>x.Open()).First": "First",
+        "newPrinter(this).Run": "Run", "base.Sum": "Sum", "Log.Write": "Write",
+    }
 
 
 @settings(max_examples=200, deadline=None)
@@ -44,26 +64,57 @@ def test_extract_never_raises(code):
     assert all(s["span_end_line"] >= s["span_start_line"] >= 1 for s in symbols)
 
 
-def test_index_end_to_end(spark, tmp_path):
+def tree_of(folder, files):
+    for name, text in files.items():
+        p = folder / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(text if isinstance(text, bytes) else text.encode())
+
+
+PROJECT = '<Project><PropertyGroup><RootNamespace>Acme.{0}</RootNamespace></PropertyGroup><ItemGroup><ProjectReference Include="..\\Abc\\Core.csproj"/><PackageReference Include="Json"/></ItemGroup></Project>'
+
+
+def test_index_of_a_solution(spark, tmp_path, capsys):
+    """Scan with ignore rules and bad bytes, projects of a solution, scope, notes, command line and tools, end to end."""
     src, out = tmp_path / "src", str(tmp_path / "out")
-    (src / "obj").mkdir(parents=True)
-    (src / "a.cs").write_text(SAMPLE)
-    (src / "obj" / "skipped.cs").write_text("class Skipped {}")
-    (src / "b.cs").write_text("namespace Demo.App; class OrderViewModel { public OrderViewModel(OrderService s) {} } class OrderService {} class OrderView {}")
-    counts = index.build(spark, str(src), out, mvvm=True)
-    assert counts["files"] == 2 and counts["features"] == 1
+    tree_of(src, {
+        "App/Ledger.cs": SAMPLE, "App/Cafe.cs": "class Caf\xe9 { string S = \"\x80\"; }".encode("latin-1"), "App/obj/Made.cs": "class Made {}", "gen/Auto.cs": "class Auto {}", ".gitignore": "# made\n/gen/\n",
+        "App/App.csproj": PROJECT.format("App"), "Abc/Core.csproj": PROJECT.format("Core"), "Abc/Tax.cs": "namespace Acme.Core; public interface ITaxRules { } class Log { static void Write() {} }",
+        "Old/Tax.cs": "namespace Acme.Old; interface ITaxRules { } class TaxViewModel { public TaxViewModel(TaxService s) {} } class TaxService {}",
+        "All.sln": 'Project("{1}") = "App", "App\\App.csproj", "{2}"\nProject("{1}") = "Core", "Abc\\Core.csproj", "{3}"\nProject("{1}") = "Gone", "Gone\\Gone.csproj", "{4}"',
+    })
+    assert cli.main(["index", str(src), "--out", out, "--index-mvvm-edges", "--store-content"], spark) == 0
     t = index.load(spark, out)
-    edges = {(r.edge_type, r.confidence) for r in t["edges"].collect()}
-    assert ("implements", "heuristic") in edges and ("calls", "heuristic") in edges and ("imports", "exact") in edges
-    iface = t["symbols"].where("name = 'IWorker'").first().id
-    assert {r.name for r in read.implementations_of(t["edges"], t["files"], t["symbols"], iface).collect()} == {"OnlyImpl", "Worker"}
-    assert t["features"].first().service == "Demo.App.OrderService"
-    assert read.find_symbol(t["symbols"], t["files"], name="DoWork").count() == 1
+    assert sorted(r.path.removeprefix(f"{src}/") for r in t["files"].collect()) == ["Abc/Tax.cs", "App/Cafe.cs", "App/Ledger.cs", "Old/Tax.cs"]
+    assert read.lookup_file(t["files"], f"{src}/App/Cafe.cs").first().content.count("\ufffd") == 2
+    meta = {r.key: json.loads(r.value) for r in t["meta"].collect()}
+    assert len(meta["errors"]) == 1 and "missing .csproj" in meta["errors"][0] and not index.is_stale(spark, out, str(tmp_path))
+    deps = read.project_dependencies(t["project_edges"], t["projects"])
+    assert {(r.src, r.dst) for r in deps.where("edge_kind = 'project_reference'").collect()} == {("App", "Core"), ("Core", "Core")} and deps.count() == 4
+    core = read.lookup_symbol(t["symbols"], t["files"], "Acme.Core.ITaxRules").first()
+    injected = t["edges"].where("edge_type = 'injects' and dst_symbol_id is not null").collect()
+    assert t["project_files"].count() == 3 and [(r.confidence, r.dst_symbol_id) for r in injected] == [("heuristic", core.id)]
+    bases = {json.loads(r.meta_json)["base_short"]: json.loads(r.meta_json) for r in t["edges"].where("edge_type in ('inherits', 'implements')").collect()}
+    assert bases["ILedger"]["base_resolved"] == "true" or bases["ILedger"]["base_resolved"] is True
+    assert bases["ILedger"]["dst_kind"] == "interface" and bases["IPrintable"]["base_kind_hint"] == "interface" and "base_text" in bases["Account"]
+    assert [r.service for r in t["features"].collect()] == ["Acme.Old.TaxService"]
     body = {r.path: r.body for r in notes.notes(t["symbols"], t["edges"], t["files"]).collect()}
-    assert "[[Demo/App/BaseService]]" in body["Demo/App/Worker.md"] and "- (none)" in body["Demo/App/IWorker.md"]
-    assert sqlapi.as_text(sqlapi.read_query(spark, "select count(*) as n from features")).endswith("1")
-    with pytest.raises(FileNotFoundError):
-        index.load(spark, str(tmp_path / "absent"))
+    assert "## Properties\n- [[Acme/Billing/Account/Label]]" in body["Acme/Billing/Account.md"] and "- [[Acme/Billing/Account]]" in body["Acme/Billing/Invoice.md"]
+    capsys.readouterr()
+    assert cli.main(["query", "find-symbol", "--index", out, "--kind", "interface", "--file-glob", "*/Abc/*"], spark) == 0
+    assert str(core.id) in capsys.readouterr().out
+    assert cli.main(["query", "grep-text", r"class\s+Caf", "--regex", "--index", out], spark) == 0 and "Cafe.cs" in capsys.readouterr().out
+    assert cli.main(["notes", "get-or-create", "Invoice", "--index", out, "--notes-dir", str(tmp_path / "n")], spark) == 0
+    assert cli.main(["notes", "append", "Invoice", "--text", "seen", "--notes-dir", str(tmp_path / "n")], spark) == 0 and capsys.readouterr().out.rstrip().endswith("seen")
+    assert cli.main(["query", "stats", "--index", str(tmp_path / "absent")], spark) == 2
+    (src / "More.sln").write_text("")
+    assert cli.main(["index", str(src), "--out", out], spark) == 2 and cli.main(["index", str(src), "--sln", "a", "--csproj", "b"], spark) == 2
+    ask = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}]
+    ask += [{"id": 3 + i, "method": "tools/call", "params": {"name": n, "arguments": a}} for i, (n, a) in enumerate([("read_query", {"query": "select count(*) as n from features"}), ("read_query", {"query": "drop table features"}), ("list_tables", {}), ("append_note", {"symbol_name": "Nobody", "text": "x"})])]
+    said = io.StringIO()
+    server.serve(spark, t, str(tmp_path / "n"), [json.dumps(x) for x in ask], said)
+    got = {x["id"]: x["result"] for x in map(json.loads, said.getvalue().splitlines())}
+    assert len(got[2]["tools"]) == 6 and got[3]["content"][0]["text"] == "n\n1" and [got[i]["isError"] for i in (3, 4, 5, 6)] == [False, True, False, True]
 
 
 def test_index_incremental(spark, tmp_path, monkeypatch):
