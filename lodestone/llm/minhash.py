@@ -312,8 +312,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     if not inside.isEmpty():
         inside = inside.join(small(search.own(cut(inside.select("doc_id").distinct()))), "doc_id")
         tried = best
+        inside = _mixed(_within_reach(inside, search), small(comps))
         for turn in range(rounds):
-            inside = _mixed(_within_reach(inside, search), small(comps))
             # later hubs are looked for outside the list's largest component, whose members had theirs
             hubs = inside.join(_main(inside, "key"), "key").where("c <> main") if turn else inside
             hubs = hubs.groupBy("key").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "doc_id", "n", "u", "c")).alias("h"))
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
                 break
             links = links.union(found)
             comps = cut(components(links))
-        inside = _mixed(_within_reach(inside, search), small(comps))
+            inside = _mixed(inside, small(comps))
         if not inside.isEmpty():
             rest = search.verified(search.with_sketches(cut(search.rarest(inside).join(tried, ["a", "b"], "left_anti"))))
             if not rest.isEmpty():
