@@ -107,7 +107,7 @@ def test_index_of_a_solution(spark, tmp_path, capsys):
     assert cli.main(["notes", "get-or-create", "Invoice", "--index", out, "--notes-dir", str(tmp_path / "n")], spark) == 0
     assert cli.main(["notes", "append", "Invoice", "--text", "seen", "--notes-dir", str(tmp_path / "n")], spark) == 0 and capsys.readouterr().out.rstrip().endswith("seen")
     assert cli.main(["query", "stats", "--index", str(tmp_path / "absent")], spark) == 2
-    (src / "More.sln").write_text("")
+    (src / "More.sln").write_text("none")
     assert cli.main(["index", str(src), "--out", out], spark) == 2 and cli.main(["index", str(src), "--sln", "a", "--csproj", "b"], spark) == 2
     ask = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}]
     ask += [{"id": 3 + i, "method": "tools/call", "params": {"name": n, "arguments": a}} for i, (n, a) in enumerate([("read_query", {"query": "select count(*) as n from features"}), ("read_query", {"query": "drop table features"}), ("list_tables", {}), ("append_note", {"symbol_name": "Nobody", "text": "x"})])]
