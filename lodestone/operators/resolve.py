@@ -133,21 +133,6 @@ def resolve_all(refs: DataFrame, symbols: DataFrame, scope: DataFrame | None = N
     return rows
 
 
-def resolve_towards(refs: DataFrame, symbols: DataFrame, symbol_id: int, scope: DataFrame | None = None, ordered: bool = True) -> DataFrame:
-    """The edges of resolve_all that end at one symbol, from the references and symbols that bear its name only: both
-    filters reach the scans, and the dictionaries hold one name."""
-    target = symbols.where(F.col("id") == symbol_id).select("name", "qualified_name").first()
-    if target is None:
-        return resolve_all(refs.limit(0), symbols.limit(0), scope, ordered)
-    kind = F.col("edge_type")
-    name = F.when(kind.isin("inherits", "implements"), base_short(F.col("dst_guess"))).when(kind == "string_ref", F.col("dst_guess")).otherwise(F.coalesce("name", last_segment(F.col("dst_guess"))))
-    refs = refs.where((name == target.name) | (F.col("dst_guess") == target.qualified_name))
-    guesses = refs.select(F.col("dst_guess").alias("qualified_name")).distinct()
-    same = symbols.where(F.col("name") == target.name)
-    other = symbols.where(F.col("name") != target.name).join(guesses, "qualified_name", "left_semi").select(*symbols.columns)
-    return resolve_all(refs, same.unionByName(other), scope, ordered).where(F.col("dst_symbol_id") == symbol_id)
-
-
 def merge_inheritance_meta(edges: DataFrame) -> DataFrame:
     """edges whose meta_json says, for inheritance, the base's short name and what became of it.
 

@@ -144,12 +144,12 @@ _TARGET = "(select min(id) from symbols where name = (select min(name) from symb
 
 
 def _at(t: Tables, query, *types: str) -> DataFrame:
-    """query(edges, symbols, id) for the first symbol of the first interface name; only edges that end there are resolved."""
+    """query(edges, symbols, id) for the first symbol of the first interface name; only edges of these types are resolved."""
     symbols, refs = t.symbols, t.refs
     first = symbols.groupBy("name").agg(F.min("id").alias("id"), F.max(F.col("kind") == "interface").alias("i"))
     symbol_id = first.where("i").agg(F.min_by("id", "name")).first()[0]
     refs = refs.where(F.col("edge_type").isin(*types)) if types else refs
-    return query(resolve.resolve_towards(refs, symbols, symbol_id, t.scope), symbols, symbol_id)
+    return query(resolve.resolve_all(refs, symbols, t.scope), symbols, symbol_id)
 
 
 @query(f"select e.id, edge_type, confidence, src_file_id, path, ref_start_line, dst_symbol_id from edges e join files f on f.id = src_file_id where dst_symbol_id = {_TARGET} order by path, ref_start_line, e.id limit 200", EDGES)
@@ -274,7 +274,7 @@ def grep_regex(t):
     return read.grep_regex(_texts(t), "[A-Z][a-z]+ing and")
 
 
-@query(r"select path, left(string_split(content, chr(10))[1], 200) snippet from texts where regexp_matches(content, '(?i)\\bTHE\\b.*\\d{3}') order by path limit 100", TEXTS)
+@query(r"select path, left(string_split(content, chr(10))[1], 200) snippet from texts where regexp_matches(content, '(?i)\bTHE\b.*\d{3}') order by path limit 100", TEXTS)
 def grep_text_regex(t):
     """Python's dialect of regular expressions."""
     return read.grep_text(_texts(t), r"(?i)\bTHE\b.*\d{3}", regex=True)
