@@ -33,7 +33,8 @@ REVISIT_FROM = 100
 
 
 def records(pages: DataFrame, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """page_id and `value`, the WARC record, for each row of pages(page_id, url, html)."""
+    """page_id, `value`, the WARC record, and `most`, what it takes in bytes at most, for each row of pages(page_id, url,
+    html)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
     twice = rows.where(f"n >= {REVISIT_FROM}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
@@ -51,13 +52,31 @@ def records(pages: DataFrame, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <{URN}"), "first", F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(END),
     )
-    return rows.select("page_id", F.concat(head, block).alias("value"))
+    return rows.select("page_id", F.concat(head, block).alias("value"), _most("payload").alias("most"))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Write archives below path, records_per_file records each at most; tasks write where they read, nothing moves but
-    the digests of the pages."""
-    records(pages).select("value").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+def _most(html: str):
+    """Bytes that the record of a page takes at most, for its sizes alone: each \\r and \\n of the url becomes three."""
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    return F.lit(1024) + size(html) + 3 * size("url")
+
+
+def write(pages: DataFrame, path: str, file_bytes: int = 64 << 20, record_bytes: int = 16 << 10, step: int = 16) -> None:
+    """Write archives of at most file_bytes below path, or of one record that is longer.
+
+    Files are closed after a number of records, so records are written by classes of size: those up to record_bytes, then
+    up to step times as many bytes, and so on; each class that occurs is one pass over the pages, in a folder of its own.
+    Tasks write where they read, nothing moves but the digests of the pages.
+    """
+    borders = [record_bytes]
+    while borders[-1] < 1 << 33:
+        borders.append(borders[-1] * step)
+    size_class = sum((F.col("most") > b).cast("int") for b in borders)
+    classes = pages.select(_most("html").alias("most")).select(size_class.alias("c")).distinct().collect()
+    rows = records(pages)
+    for i in sorted(r.c for r in classes) or [0]:
+        some = rows.where(size_class == i).select("value")
+        some.write.option("lineSep", END).option("maxRecordsPerFile", max(1, file_bytes // borders[i])).text(f"{path}/{i}")
 
 
 class Heads:

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -187,6 +188,21 @@ def test_warc_long_urls(spark):
     assert got == {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows}
 
 
+def test_warc_file_sizes(spark, tmp_path):
+    """Archives keep within the bytes asked for, or hold one record; sizes lie at and beside the borders of classes."""
+    sizes = [0, 3071, 3072, 3073, 1000, 15_359, 15_360, 15_361, 100_000, 63_487, 63_488, 63_489] * 4
+    pages = spark.createDataFrame([(i, None if n % 2 else "u", f"{i:04}" + "x" * (n - 4) if n else None) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w", file_bytes=20_000, record_bytes=4096, step=4)
+    got = warc.read(spark, f"file://{tmp_path}/w").select("file", "payload_bytes").collect()
+    assert sorted(r.payload_bytes for r in got) == sorted(sizes)
+    of = {}
+    for r in got:
+        of.setdefault(r.file, []).append(r.payload_bytes)
+    for file, held in of.items():
+        assert len(held) == 1 or os.path.getsize(file.removeprefix("file:").replace("//", "/")) <= 20_000
+    assert len(of) < len(sizes)
+
+
 def test_warc_headers():
     """As if each candidate were parsed by itself, also where magic stands within headers."""
     r, seen = random.Random(6), 0
