@@ -14,9 +14,14 @@ from lodestone.functions.text import base_short, last_segment, looks_like_interf
 from lodestone.schemas import TYPE_LIKE
 
 
-def _first(where: Column | None = None) -> Column:
-    s = F.struct("id", "file_id", "kind")
-    return F.min(s if where is None else F.when(where, s))
+def _firsts(symbols: DataFrame, key: str, classes: dict[str, Column], want: dict[str, tuple[str, int]]) -> DataFrame:
+    """For each key the first or second symbol, by id, of each class. One window ranks all classes; its limit of two
+    rows a key and class is taken before the shuffle, so a hot name moves two rows from each task."""
+    of = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in classes.items()])))
+    rows = symbols.select(key, F.struct("id", "file_id", "kind").alias("s"), of.alias("class"))
+    rank = F.row_number().over(Window.partitionBy(key, "class").orderBy("s.id"))
+    rows = rows.withColumn("r", rank).where("r <= 2")
+    return rows.groupBy(key).agg(*[F.min(F.when((F.col("class") == c) & (F.col("r") == r), F.col("s"))).alias(n) for n, (c, r) in want.items()])
 
 
 def _visible(s: str, ordered: bool) -> Column:
@@ -28,21 +33,11 @@ def dictionaries(symbols: DataFrame, scope: DataFrame | None) -> tuple[DataFrame
     s = symbols.select("id", "file_id", "kind", "name", "qualified_name")
     s = s.withColumn("within", F.lit(True)) if scope is None else s.join(scope.select("file_id").distinct().withColumn("within", F.lit(True)), "file_id", "left")
     inside = F.col("within").isNotNull()
-    rank = F.row_number().over(Window.partitionBy("qualified_name").orderBy("id"))
-    second = s.withColumn("r", rank).where("r = 2").select("qualified_name", F.struct("id", "file_id", "kind").alias("q2"))
-    by_q = s.groupBy("qualified_name").agg(_first().alias("q1"), _first(inside).alias("qs")).join(second, "qualified_name", "left")
-    dotted = inside & F.expr("endswith(qualified_name, concat('.', name))")
-    by_n = s.groupBy("name").agg(
-        _first(inside).alias("n1"), _first(dotted).alias("nd"),
-        _first(F.col("kind") == "interface").alias("i1"), _first(inside & (F.col("kind") == "interface")).alias("is1"),
-        _first(F.col("kind").isin(*TYPE_LIKE)).alias("t1"),
-    )
-    kinds = {"i": F.col("kind") == "interface", "s": inside & (F.col("kind") == "interface"), "t": F.col("kind").isin(*TYPE_LIKE)}
-    for k, cond in kinds.items():
-        r = F.row_number().over(Window.partitionBy("name").orderBy("id"))
-        two = s.where(cond).withColumn("r", r).where("r = 2").select("name", F.struct("id", "file_id", "kind").alias(f"{k}2"))
-        by_n = by_n.join(two, "name", "left")
-    return by_q, by_n
+    interface = F.col("kind") == "interface"
+    by_q = _firsts(s, "qualified_name", {"q": F.lit(True), "s": inside}, {"q1": ("q", 1), "q2": ("q", 2), "qs": ("s", 1)})
+    names = {"n": inside, "d": inside & F.expr("endswith(qualified_name, concat('.', name))"), "i": interface, "s": inside & interface, "t": F.col("kind").isin(*TYPE_LIKE)}
+    want = {"n1": ("n", 1), "nd": ("d", 1), "i1": ("i", 1), "i2": ("i", 2), "is1": ("s", 1), "s2": ("s", 2), "t1": ("t", 1), "t2": ("t", 2)}
+    return by_q, _firsts(s, "name", names, want)
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, scope: DataFrame | None = None, ordered: bool = True) -> DataFrame:
