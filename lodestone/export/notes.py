@@ -35,9 +35,9 @@ def structure(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def notes(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """path and body of the note of every type-like symbol; links sorted, '- (none)' where a section is empty."""
-    link = F.concat(F.lit("- [["), F.replace(F.col("link"), F.lit("."), F.lit("/")), F.lit("]]"))
-    parts = structure(symbols, edges).groupBy("owner", "section").agg(F.array_join(F.array_sort(F.collect_set(link)), "\n").alias("text"))
+    """path and body of the note of every type-like symbol; links in order of qualified names, '- (none)' where a section is empty."""
+    link = lambda name: F.concat(F.lit("- [["), F.replace(name, F.lit("."), F.lit("/")), F.lit("]]"))
+    parts = structure(symbols, edges).groupBy("owner", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_set("link")), link), "\n").alias("text"))
     wide = parts.groupBy("owner").pivot("section", list(SECTIONS)).agg(F.first("text"))
     s = symbols.where(F.col("kind").isin(*TYPE_LIKE)).join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id")
     s = s.join(wide, s.qualified_name == wide.owner, "left")

@@ -56,6 +56,7 @@ class Tables:
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         import re
 
+        text = text.replace("{", "{{").replace("}", "}}")
         for name in ("supplier", "nation", "region", "documents", "lineitem", "part"):
             if re.search(rf"\b(from|join) {name}\b", text):
                 more[name] = self.raw(name)

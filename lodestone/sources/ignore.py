@@ -1,8 +1,13 @@
-"""Gitignore rules as ordered regular expressions; the last match wins."""
+"""Gitignore rules as ordered regular expressions.
+
+The last match wins, but for one case: a rule that takes back a folder does not take back what a rule for the files
+themselves has ignored.
+"""
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 #: Patterns that always apply: fixed values.
 DEFAULTS = [
@@ -26,12 +31,18 @@ DEFAULTS = [
 ]
 
 
-def compile_rules(patterns: list[str]) -> list[tuple[re.Pattern, bool]]:
-    """(regex on the relative path, ignored) for each line; blank lines and comments are left out."""
+class Rule(NamedTuple):
+    matches: re.Pattern  # on the relative path
+    own: re.Pattern | None  # matches only what the rule itself names, not what lies below; None for rules of folders
+    ignored: bool
+
+
+def compile_rules(patterns: list[str]) -> list[Rule]:
+    """A rule for each line; blank lines and comments are left out."""
     return [r for p in patterns if (r := _rule(p))]
 
 
-def _rule(line: str) -> tuple[re.Pattern, bool] | None:
+def _rule(line: str) -> Rule | None:
     line = line.rstrip("\n").rstrip()
     if not line or line.startswith("#"):
         return None
@@ -56,8 +67,9 @@ def _rule(line: str) -> tuple[re.Pattern, bool] | None:
             out, i = out + "[" + ("^" + body[1:] if body[:1] == "!" else body).replace("\\", "\\\\") + "]", j + 1
         else:
             out, i = out + re.escape(p[i]), i + 1
-    head = "" if anchored else "(?:.*/)?"
-    return re.compile(f"^{head}{out}" + ("/.*" if folder else "(?:/.*)?") + "$"), not keep
+    own = ("" if anchored else "(?:.*/)?") + out
+    below = re.compile(f"^{own}" + ("/.*" if folder else "(?:/.*)?") + "$")
+    return Rule(below, None if folder else re.compile(f"^{own}$"), not keep)
 
 
 def build_spec(gitignore: str = "", extra: tuple[str, ...] = (), use_gitignore: bool = True) -> list:
@@ -69,10 +81,13 @@ def is_ignored(spec: list, relative: str | None) -> bool:
     """The root ('') is never ignored; a path outside the root (None) always is."""
     if relative is None:
         return True
-    hit = False
-    for rule, ignored in spec:
-        if relative and rule.match(relative):
-            hit = ignored
+    hit, by_name = False, False
+    for rule in spec:
+        if not relative or not rule.matches.match(relative):
+            continue
+        named = bool(rule.own and rule.own.match(relative))
+        if rule.ignored or named or not by_name:
+            hit, by_name = rule.ignored, named
     return hit
 
 
@@ -80,7 +95,12 @@ def ignored_column(path, spec: list):
     """The same test as a column expression over a relative path."""
     from pyspark.sql import functions as F
 
-    hit = F.lit(False)
-    for rule, ignored in spec:
-        hit = F.when(path.rlike(rule.pattern), F.lit(ignored)).otherwise(hit)
+    no = F.lit(False)
+    hit = by_name = no
+    for rule in spec:
+        match, named = path.rlike(rule.matches.pattern), path.rlike(rule.own.pattern) if rule.own else no
+        if rule.ignored:
+            hit, by_name = F.when(match, True).otherwise(hit), F.when(match, named).otherwise(by_name)
+        else:
+            hit, by_name = F.when(match & (named | ~by_name), False).otherwise(hit), by_name | named
     return hit

@@ -169,6 +169,15 @@ def test_ignore_rules():
     assert hit("a/bin/x.cs") and hit("x.tmp.cs") and not hit("keep.tmp.cs") and hit("only/a.cs") and not hit("b/only/a.cs") and hit("b/logs/a.cs") and not hit("a.cs") and hit(None) and not hit("")
 
 
+def test_ignore_taken_back(spark):
+    """A folder that is taken back keeps what a rule for files ignores; a file that is taken back leaves its folder."""
+    spec = ignore.build_spec("*.log.cs\n!kept/\nmade/\n!made/own.cs\n!made\n")
+    want = {"kept/a.log.cs": True, "kept/a.cs": False, "made/own.cs": False, "made/x.cs": False, "made/x.log.cs": False, "a.log.cs": True, "bin/kept/a.cs": True, "made": False}
+    assert {p: ignore.is_ignored(spec, p) for p in want} == want
+    rows = spark.createDataFrame([(p,) for p in want], "path string").select("path", ignore.ignored_column(F.col("path"), spec).alias("hit")).collect()
+    assert {r.path: r.hit for r in rows} == want
+
+
 def test_projects(spark):
     sln = 'Project("{1}") = "App", "src\\App\\App.csproj", "{2}"\nProject("{1}") = "Dir", "Dir", "{3}"'
     got = tree.parse_sln(spark.createDataFrame([("/r/a.sln", sln)], "path string, content string")).collect()
