@@ -89,7 +89,7 @@ def _build(spark: SparkSession, o, out: str) -> dict:
 
 def run_query(spark: SparkSession, o, t: dict) -> str:
     if o.kind == "vault":
-        return str(notes.write_notes(notes.notes(t["symbols"], t["edges"], t["files"]), o.out_dir or "vault"))
+        return str(notes.export(t, o.out_dir or "vault"))
     made = {
         "find-symbol": lambda: read.find_symbol(t["symbols"], t["files"], name=o.name, kind=o.kind_of, file_glob=o.file_glob, limit=o.limit),
         "find-references": lambda: read.find_references(t["edges"], t["files"], t["symbols"], symbol_id=o.symbol_id, qualified=o.qualified, limit=o.limit),
@@ -113,7 +113,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(_build(spark, o, out))
             if o.command == "scan-export":
                 t = index.load(spark, out)
-                print(notes.write_notes(notes.notes(t["symbols"], t["edges"], t["files"]), o.out_dir or f"{o.root.rstrip('/')}/.lodestone/vault"))
+                print(notes.export(t, o.out_dir or f"{o.root.rstrip('/')}/.lodestone/vault"))
         elif o.command == "notes":
             t = index.load(spark, o.index) if o.index else None
             text = sys.stdin.read() if o.action == "append" and o.from_stdin else getattr(o, "text", None)

@@ -46,6 +46,23 @@ def notes(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     return s.select(F.concat(F.replace("qualified_name", F.lit("."), F.lit("/")), F.lit(".md")).alias("path"), F.concat(head, *body).alias("body"))
 
 
+def feature_notes(features: DataFrame) -> DataFrame:
+    """path and body of the note of every feature, in the order of domains and names; features of one name share a
+    path, and the last one written stays."""
+    link = lambda c: F.concat(F.lit("[["), F.replace(F.col(c), F.lit("."), F.lit("/")), F.lit("]]"))
+    domain = F.coalesce("domain", F.lit(""))
+    head = F.concat(F.lit("# Feature: "), "name", F.lit("\n\n**Domain:** "), domain, F.lit("\n**ViewModel:** "), link("viewmodel"), F.lit("\n"))
+    service = F.when(F.col("service") != "", F.concat(F.lit("\n**Service:** "), link("service"), F.lit("\n"))).otherwise("")
+    rows = features.orderBy(domain, "name", "viewmodel")
+    return rows.select(F.concat(F.lit("Features/"), "name", F.lit(".md")).alias("path"), F.concat(head, service).alias("body"))
+
+
+def export(tables: dict[str, DataFrame], out: str) -> int:
+    """Write the notes of all types and features of an index below out; returns their number."""
+    written = write_notes(notes(tables["symbols"], tables["edges"], tables["files"]), out)
+    return written + write_notes(feature_notes(tables["features"]), out)
+
+
 def write_notes(rows: DataFrame, out: str) -> int:
     """Write one file for each row below out; returns the number written. Rows come to the driver one by one."""
     n = 0

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from lodestone.export import notes
 from lodestone.extract.csharp import extract_files
-from lodestone.operators import incremental, read, resolve
+from lodestone.operators import derive, incremental, read, resolve
 from lodestone.plans.bridge import CTES
-from lodestone.plans.catalog import EDGES, _edges, query
+from lodestone.plans.catalog import _VM, EDGES, _edges, query
 from lodestone.sources import ignore, tree
 
 RULES = "*.tmp.cs\n!keep.tmp.cs\n/only\nlogs/\n"
@@ -154,3 +154,9 @@ def _section(kind: str, title: str) -> str:
   || {" || ".join(_section(k, v) for k, v in notes.SECTIONS.items())} as body from symbols s join files f on f.id = s.file_id where s.kind in {_TYPES}""", _LINKS)
 def type_notes(t):
     return notes.notes(t.symbols, _edges(t, "calls", "injects", "inherits", "implements"), t.files)
+
+
+@query("""select 'Features/' || name || '.md' as path, '# Feature: ' || name || chr(10) || chr(10) || '**Domain:** ' || coalesce(domain, '') || chr(10) || '**ViewModel:** [[' || replace(viewmodel, '.', '/') || ']]' || chr(10)
+  || coalesce(chr(10) || '**Service:** [[' || replace(service, '.', '/') || ']]' || chr(10), '') as body from feats""", CTES + _VM)
+def feature_notes(t):
+    return notes.feature_notes(derive.features(t.symbols, t.project_files, t.projects))

@@ -100,6 +100,8 @@ def test_index_of_a_solution(spark, tmp_path, capsys):
     assert [r.service for r in t["features"].collect()] == ["Acme.Old.TaxService"]
     body = {r.path: r.body for r in notes.notes(t["symbols"], t["edges"], t["files"]).collect()}
     assert "## Properties\n- [[Acme/Billing/Account/Label]]" in body["Acme/Billing/Account.md"] and "- [[Acme/Billing/Account]]" in body["Acme/Billing/Invoice.md"]
+    assert notes.export(t, str(tmp_path / "vault")) == len(body) + 1
+    assert (tmp_path / "vault/Features/Tax.md").read_text() == "# Feature: Tax\n\n**Domain:** Acme\n**ViewModel:** [[Acme/Old/TaxViewModel]]\n\n**Service:** [[Acme/Old/TaxService]]\n"
     capsys.readouterr()
     assert cli.main(["query", "find-symbol", "--index", out, "--kind", "interface", "--file-glob", "*/Abc/*"], spark) == 0
     assert str(core.id) in capsys.readouterr().out
