@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.operators.derive import with_ids
 
@@ -44,8 +45,15 @@ class Tables:
     """The bridged tables of one input folder, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.raw = spark, lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        self.spark, self.folder = spark, sf_dir
         self.counts: dict[str, int] = {}
+        self.schemas: dict[str, StructType] = {}
+
+    def raw(self, name: str) -> DataFrame:
+        """One of the driver's tables; its schema is looked up once, as each look-up is a job."""
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def count(self, name: str) -> int:
         """Rows of a table, counted once."""
