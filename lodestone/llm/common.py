@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a table may be broadcast, as it lies in a hash table: each row counts 48 bytes besides its columns.
 BROADCAST_BYTES = 64 << 20
+#: Edges up to which the driver finds components by itself: 8 MB. More are contracted by the executors.
+DRIVER_EDGES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +47,12 @@ def _remove_local(url: str) -> None:
 
 
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back: its lineage ends there."""
+    """Write df as Parquet to the shared scratch folder and read it back: its lineage ends there.
+
+    Tasks put their files in place themselves, where else the driver renames one after the other: the path is new, and
+    nobody reads it before the job is done."""
     path = path or scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -209,14 +214,20 @@ def long(x: np.ndarray) -> pa.Array:
 # --- connected components ------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every end of edges(a, b): component is the smallest id that can be reached.
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, component) for every end of edges(a, b): component is the smallest id that can be reached. A cut table.
 
-    Alternating large-star and small-star steps. Only minima are gathered for a node, never its neighbours, and they
-    are combined before the shuffle; the joins on a hub's rows are sort-merge joins that AQE splits where a key has more
-    rows than a task should. Empty input gives an empty table.
+    Up to `most` edges (DRIVER_EDGES) are joined on the driver. Beyond, alternating large-star and small-star steps. Only
+    minima are gathered for a node, never its neighbours, and they are combined before the shuffle; the joins on a hub's
+    rows are sort-merge joins that AQE splits where a key has more rows than a task should. Empty input gives an empty
+    table.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    if e.count() <= (DRIVER_EDGES if most is None else most):
+        found = e.toArrow()
+        ids, least = smallest_reached(*(found.column(c).to_numpy() for c in "uv"))
+        return cut(e.sparkSession.createDataFrame(pa.table({"id": long(ids), "component": long(least)}), "id long, component long"))
+    e = cut(e.distinct())
     while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -225,7 +236,21 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return cut(stars.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+
+
+def smallest_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ends of the edges (u, v), and for each the smallest that can be reached."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, root = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, high, low)  # a root is hung below the least one it meets, so there are no cycles
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    return ids, ids[root]
 
 
 def _stars(e: DataFrame) -> bool:

@@ -190,20 +190,23 @@ class _Search:
         most the lesser rest, and must be percent / (100 + percent) of both sizes."""
         return f"(100 + {self.percent}) * least({na} - {ua}, {nb} - {ub}) >= {self.percent} * ({na} + {nb})"
 
+    def both(self, pairs: DataFrame, side: DataFrame) -> DataFrame:
+        """pairs (a, b), a cut table, with each column x of side (doc_id, ...) as xa for a and xb for b.
+
+        The pairs are sent to the rows and what each side has meets by pair: a document in many pairs is no hot key."""
+        ends = small(pairs)
+        named = lambda end: side.select(F.col("doc_id").alias("id"), *(F.col(c).alias(f"{c}{end}") for c in side.columns if c != "doc_id"))
+        one, two = (named(end).join(ends, F.col("id") == F.col(end)).drop("id") for end in "ab")
+        return one.join(two, ["a", "b"])
+
     def with_sketches(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), a cut table, that pass the cheap tests and the estimate."""
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        side = self.sets.join(small(ids), "doc_id", "left_semi")
-        for x in "ab":
-            pairs = pairs.join(side.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("signs").alias(f"b{x}")), x)
-        return cut(pairs.where(f"{self.likely()} and {self.estimate()}").select("a", "b"))
+        side = self.sets.select("doc_id", "n", F.col("sketch").alias("s"), F.col("signs").alias("b"))
+        return cut(self.both(pairs, side).where(f"{self.likely()} and {self.estimate()}").select("a", "b"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), a cut table, whose full sets reach the threshold."""
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        texts = self.rows.join(small(ids), "doc_id", "left_semi")
-        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        both = self.both(pairs, self.rows.select("doc_id", F.col("text").alias("t")))
         return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(self.words, self.percent), "a long, b long"))
 
     def tokens(self, ids: DataFrame) -> DataFrame:
@@ -226,7 +229,7 @@ class _Search:
         to the buckets for which it may be the first common one.
         """
         heads = inside.groupBy("key").agg(F.min("doc_id").alias("a"))
-        pools = cut(components(inside.join(heads, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("id").alias("doc_id"), F.col("component").alias("pool")))
+        pools = components(inside.join(heads, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("id").alias("doc_id"), F.col("component").alias("pool"))
         ids = cut(inside.select("doc_id", "n", "c").distinct().join(small(pools), "doc_id"))
         tokens = cut(self.tokens(ids.select("doc_id", "pool")))
         often = tokens.groupBy("pool", "token").agg(F.count("*").alias("df")).where("df > 1")
@@ -303,7 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     tops = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
     listed = cut(keys.join(tops.drop("last"), "key"))
     stars = listed.where("doc_id > leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c"))
-    search = _Search(docs.where("pick").select("doc_id", "text"), distinct.select("doc_id", "n", "sketch", "signs"), words, percent, k)
+    search = _Search(docs.where("pick").select("doc_id", "text"), sets.where("pick").select("doc_id", "n", "sketch", "signs"), words, percent, k)
 
     best = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b"))
     links = search.verified(search.with_sketches(best))
@@ -325,7 +328,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
             if found.isEmpty():
                 break
             links = links.union(found)
-            comps = cut(components(links))
+            comps = components(links)
             inside = _mixed(inside, small(comps))
         if not inside.isEmpty():
             rest = search.verified(search.with_sketches(cut(search.rarest(inside).join(tried, ["a", "b"], "left_anti"))))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodestone.llm import minhash
+from lodestone.llm import common, minhash
 
 
 def shingles(text, k):
@@ -97,3 +97,30 @@ def test_repeated_doc_ids(spark):
     assert sorted(x.n_shingles for x in by[7]) == [0, 0, len(shingles(a + " x", 5))]
     assert by[8][0].component_id == 1 and all(not x.kept for x in by[8]) and by[None][0].component_id is None
     assert by[5][0].component_id in (1, 2)
+
+
+def test_pairs_of_a_hub_cost_few_tables(spark, monkeypatch):
+    """A hub's pairs meet their two texts by pair, with pairs that are sent to all tasks and with pairs that are not."""
+    texts = group(random.Random(4), 40, (0, 12))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(3, 5)], "a long, b long")
+    want = {x for x in links_of(texts, 2) if x in {(r.a, r.b) for r in pairs.collect()}}
+    cuts, cut = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda *a: cuts.append(1) or cut(*a))
+    search = minhash._Search(rows, None, 2, 80, 64)
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(minhash, "small", lambda df: df)
+        got = [(r.a, r.b) for r in search.verified(pairs).collect()]
+        assert sorted(got) == sorted(want) and 0 < len(want) < 40
+    assert len(cuts) == 2
+
+
+def test_a_large_group_takes_few_jobs(spark, monkeypatch):
+    """A group of near copies: rounds of components and of hubs write few tables (26; 32 before components had a driver's way)."""
+    cuts, cut = [], common.cut
+    for module in (common, minhash):
+        monkeypatch.setattr(module, "cut", lambda *a: cuts.append(1) or cut(*a))
+    texts = group(random.Random(150), 150, (9, 20))
+    minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2).collect()
+    assert len(cuts) <= 28

@@ -53,6 +53,21 @@ def test_components(spark):
     assert common.components(e.limit(0)).count() == 0
 
 
+def test_components_on_driver_and_executors(spark, monkeypatch):
+    """Both ways give the same; a few edges take no rounds of jobs, however long their paths are."""
+    r = np.random.RandomState(3)
+    walk = r.permutation(60) * 1_000_003 - 5
+    edges = [(int(a), int(b)) for a, b in zip(walk, walk[1:])] + [(int(a), int(b)) for a, b in r.randint(1 << 40, (1 << 40) + 80, (50, 2))] + [(7, 7), (1 << 60, 8)] * 2
+    df = spark.createDataFrame(edges, "a long, b long")
+    cuts, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda *a: cuts.append(1) or cut(*a))
+    near = {(x.id, x.component) for x in common.components(df).collect()}
+    assert len(cuts) <= 2
+    far = common.components(df, most=0).collect()
+    assert len(far) == len(near) and {(x.id, x.component) for x in far} == near
+    assert {c for i, c in near if i in set(walk.tolist())} == {-5} and (1 << 60, 8) in near and 7 not in {i for i, _ in near}
+
+
 def test_substring(spark):
     docs = documents(spark)
     rows = docs.select("doc_id", "text").collect()
